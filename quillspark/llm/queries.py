@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import packing
+from quillspark.llm import language_id, license_scan, packing, quality
 from quillspark.plans.registry import Registry
 from quillspark.sources.tables import table
 
@@ -16,3 +17,26 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 @R.query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(packing.pieces(table(spark, folder, "documents"), VOCABULARY))
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+@R.query("op1_license_scan")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+@R.query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model, limits = language_id.fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    found = language_id.predict(docs.select("doc_id", "text"), model, limits, reject=False)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cost", "rejected")
+
+
+@R.query("op7_quality_classifier")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out())
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
