@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import language_id, license_scan, packing, quality
+from quillspark.llm import decontamination, language_id, license_scan, packing, quality, warc
 from quillspark.plans.registry import Registry
 from quillspark.sources.tables import table
 
@@ -40,3 +40,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out())
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@R.query("op2_benchmark_decontamination")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@R.query("op9_warc")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, folder, "pages"), least=0))
