@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,8 +23,10 @@ from pyspark.sql import types as T
 from quillspark.session import cut
 
 #: Chunks a worker remembers before it starts afresh.
-REMEMBERED = 300_000
-_TAIL = re.compile(r"([0-9A-Za-zß-öø-ÿ])([.,!?%*&$#|;:)]+)$")
+REMEMBERED = 800_000
+#: Marks that end a chunk after a letter, and one that separates chunks.
+_TAIL = ".,!?%*&$#|;:)"
+_MARK = "\x01"
 _PIECE = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -53,26 +54,42 @@ class ChunkTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        (self.mark,) = self.inner.encode(_MARK, add_special_tokens=False).ids
+
+    def _ids(self, chunks: list[str]) -> None:
+        """Learn chunks by encoding them in one string, between marks that have an id of their own."""
+        plain = [c for c in chunks if _MARK not in c]
+        for lo in range(0, len(plain), 2048):
+            part = plain[lo : lo + 2048]
+            ids = np.asarray(self.inner.encode_batch_fast([f" {_MARK} ".join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            flat, at = ids.tobytes(), 0
+            for chunk, end in zip(part, ends.tolist(), strict=True):
+                self.known[chunk] = flat[4 * at : 4 * end]
+                at = end + 1
+        for chunk in chunks:
+            if _MARK in chunk:
+                self.known[chunk] = np.asarray(self.inner.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, missing: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        parts: dict[str, tuple[str, ...]] = {}
+        known = self.known
+        parts: list[tuple[str, str, str]] = []
         fresh: dict[str, None] = {}
         for chunk in missing:
             low = chunk if "Σ" in chunk or "İ" in chunk else chunk.lower()
-            m = _TAIL.search(low)
-            parts[chunk] = own = (low[: m.start(2)], m[2]) if m else (low,)
-            for x in own:
-                if x not in self.known:
-                    fresh[x] = None
-        order = list(fresh)
-        for lo in range(0, len(order), 4096):
-            part = order[lo : lo + 4096]
-            for x, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[x] = np.asarray(e.ids, "<u4").tobytes()
-        for chunk, own in parts.items():
-            self.known[chunk] = b"".join(self.known[x] for x in own)
+            core = low.rstrip(_TAIL)
+            if not core or not core[-1].isalpha():
+                core = low
+            tail = low[len(core) :]
+            parts.append((chunk, core, tail))
+            if core not in known:
+                fresh[core] = None
+            if tail not in known:
+                fresh[tail] = None
+        if fresh:
+            self._ids(list(fresh))
+        for chunk, core, tail in parts:
+            known[chunk] = known[core] + known[tail]
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -81,15 +98,10 @@ class ChunkTokenizer:
         try:
             return b"".join([known[c] for c in chunks])
         except KeyError:
-            missing = [c for c in dict.fromkeys(chunks) if c not in known]
-            self._learn(missing)
-            known = self.known
-            try:
-                return b"".join([known[c] for c in chunks])
-            except KeyError:  # the memory was cleared meanwhile
-                self.known = {}
-                self._learn(list(dict.fromkeys(chunks)))
-                return b"".join([self.known[c] for c in chunks])
+            if len(known) > REMEMBERED:
+                known.clear()
+            self._learn([c for c in dict.fromkeys(chunks) if c not in known])
+            return b"".join([known[c] for c in chunks])
 
 
 @lru_cache(maxsize=1)
