@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, language_id, license_scan, packing, quality, warc
+from quillspark.llm import decontamination, jaccard_join, language_id, license_scan, packing, quality, warc
 from quillspark.plans.registry import Registry
 from quillspark.sources.tables import table
 
@@ -50,3 +50,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @R.query("op9_warc")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read(warc.write(table(spark, folder, "pages"), least=0))
+
+
+@R.query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, folder, "documents"))
