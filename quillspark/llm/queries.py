@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, jaccard_join, language_id, license_scan, packing, quality, suffix_dedup, warc
+from quillspark.llm import decontamination, fingerprints, jaccard_join, language_id, license_scan, packing, quality, suffix_dedup, warc
 from quillspark.plans.registry import Registry
 from quillspark.sources.tables import table
 
@@ -60,3 +60,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @R.query("op8_suffix_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, folder, "documents"), length=100)
+
+
+@R.query("op5_document_fingerprints")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compared(table(spark, folder, "documents"))
