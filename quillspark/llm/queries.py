@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, jaccard_join, language_id, license_scan, packing, quality, suffix_dedup, warc
+from quillspark.llm import decontamination, fingerprints, jaccard_join, language_id, license_scan, packing, quality, secret_scan, suffix_dedup, warc
 from quillspark.plans.registry import Registry
 from quillspark.sources.tables import table
 
@@ -65,3 +65,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @R.query("op5_document_fingerprints")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compared(table(spark, folder, "documents"))
+
+
+@R.query("op6_secret_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.findings(table(spark, folder, "documents"), secret_scan.train(secret_scan.labelled_findings(spark)))
