@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import kernel
 from quillspark.llm.kernel import U
-from quillspark.session import stored
 
 # The seeds; # is looked at, - is ignored.
 MASKS = ("########", "##-##-####", "###-##-#-##", "##--###-#-##")
@@ -133,16 +132,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
     task only if its words are at most ``sent`` divided by the masks; larger ones are split by
     item over several passes of that size, each against all texts.
     """
+    found = None
+    for shared in _parts(docs, benchmark, sent):
+        one = _pass(docs, shared, least, share)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _parts(docs: DataFrame, benchmark: DataFrame, sent: int) -> list:
+    """The benchmark as broadcasts of at most about ``sent`` seeds each."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     measured = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     passes = max(1, -(-int(measured) * len(MASKS) // (2 * sent)))
-    found = None
+    out = []
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        one = _pass(docs, spark.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in part.collect()])), least, share)
-        found = one if found is None else found.unionByName(one)
-    return found
+        out.append(spark.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in part.collect()])))
+    return out
 
 
 def _pass(docs: DataFrame, shared, least: int, share: float) -> DataFrame:
@@ -160,7 +167,22 @@ def _pass(docs: DataFrame, shared, least: int, share: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that share no stretch with the benchmark, all columns as they were."""
-    bad = stored(contaminated(docs, benchmark, **limits).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id") == F.col("_leak"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, sent: int = SENT) -> DataFrame:
+    """The rows of ``docs`` that share no stretch with the benchmark, all columns as they were; one pass, no shuffle."""
+    for shared in _parts(docs, benchmark, sent):
+        docs = _without(docs, shared, least, share)
+    return docs
+
+
+def _without(docs: DataFrame, shared, least: int, share: float) -> DataFrame:
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, _, data, offsets in kernel.blocks(batch.column(at)):
+                for doc in {m[0] for m in _matches(shared.value, data, offsets, least, share)}:
+                    keep[row + doc] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

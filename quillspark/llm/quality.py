@@ -219,3 +219,20 @@ def classify(docs: DataFrame, labels: DataFrame, learn=None, name: str = "qualit
     if learn is not None:
         known = known.where(learn)
     return scored(rows, fit(rows.join(known, "doc_id")))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, name: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, all columns as they were.
+
+    All labels teach. Texts are read once for the labelled vectors and once for the decision, and never shuffled.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
+    model = fit(stored(vectors(docs), f"{name}-vectors").join(known, "doc_id"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [model.score(statistics(data, offsets)) for _, _, data, offsets in kernel.blocks(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(parts) >= least)) if parts else batch
+
+    return docs.mapInArrow(run, docs.schema)
