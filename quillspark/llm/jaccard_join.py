@@ -1,13 +1,12 @@
 """Documents whose n-gram sets overlap, as a blocked product of the incidence matrix.
 
-The matrix has a row per document and a column per word n-gram. Columns are
-put in one global order (see ``FIRST_HALF``); a row that can reach the bound
-with another shares a column with it among its first few, so only those columns
-are multiplied. Overlaps of the pairs that remain are accumulated in blocks of
-rows, and a pair is dropped as soon as the sizes rule it out.
-
-Columns of one document never match anything. A row with so many of them that
-the bound is out of reach leaves at once; equal rows become one.
+The matrix has a row per document and a column per word n-gram. Columns that one
+row alone has match nothing: a row with so many of them that the bound is out of
+reach leaves at once, and equal rows become one. The other columns are put in
+one order, rarest first. Two rows that reach the bound share a column among the first
+few of both, so only those are multiplied, and a product is dropped where the
+rows' sizes, their shared columns and the column's places leave too few to
+come. Overlaps of the pairs that remain are accumulated in blocks of rows.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import kernel
@@ -24,11 +23,14 @@ from quillspark.llm.kernel import U
 from quillspark.operators.graph import connected_components
 from quillspark.session import cut, shares, stored
 
-#: Columns below this hash come first, ordered by how many documents have them, rarest
-#: first, then by hash; the others follow by hash alone. A quarter of a row at most is
-#: multiplied, and about half of it lies here, so only these columns need counting.
+#: Columns below this hash are counted over all documents; a row that has too many of them
+#: for itself alone is out. All columns of the rows that are left, equal ones as one, are counted then.
 FIRST_HALF = U(1 << 63)
-_ROWS = "doc_id long, n long, sig binary, central double, lead array<long>, body binary"
+_ROWS = "doc_id long, n long, sig binary, body binary"
+
+
+#: Rounds before the last that compare every column's rows with one of them, and the last.
+TURNS = 4
 
 
 def _least(n: np.ndarray | int, num: int, den: int):
@@ -45,26 +47,31 @@ def _sets(table: pa.Table, width: int) -> Iterator[tuple[int, list[np.ndarray]]]
         yield row, [np.unique(grams[bounds[i] : bounds[i + 1]]) for i in range(len(bounds) - 1)]
 
 
-def _buckets(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
-    """Bounds of ``n`` equal ranges of the first half in a sorted array."""
-    edges = (np.arange(n + 1, dtype=object) * (1 << 63) // n).tolist()
-    return np.searchsorted(sorted_hashes, np.array(edges, dtype=U))
+def _counted(own: list[np.ndarray], block: int, n_buckets: int, top: int) -> pa.Table:
+    """The columns of one block with how many of its rows have them, by ``n_buckets`` equal ranges below ``top``."""
+    keys, counts = np.unique(np.concatenate(own) if own else np.zeros(0, U), return_counts=True)
+    edges = np.array([k * top // n_buckets for k in range(1, n_buckets)], dtype=U)
+    bounds = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).tolist()
+    rows = []
+    for b, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if lo < hi:
+            many = np.flatnonzero(counts[lo:hi] > 1).astype("<u4")
+            rows.append((b, block, keys[lo:hi].tobytes(), many.tobytes() + counts[lo:hi][many].astype("<u4").tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "many"])
 
 
 def _count(n_buckets: int, width: int):
     def run(table: pa.Table) -> pa.Table:
         own = [s[: np.searchsorted(s, FIRST_HALF)] for _, sets in _sets(table, width) for s in sets]
-        keys, counts = np.unique(np.concatenate(own) if own else np.zeros(0, U), return_counts=True)
-        bounds = _buckets(keys, n_buckets)
-        block = table.column("block")[0].as_py()
-        rows = []
-        for b in range(n_buckets):
-            lo, hi = bounds[b], bounds[b + 1]
-            if lo < hi:
-                many = np.flatnonzero(counts[lo:hi] > 1).astype("<u4")
-                rows.append((b, block, keys[lo:hi].tobytes(), many.tobytes() + counts[lo:hi][many].astype("<u4").tobytes()))
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "block", "keys", "many"])
+        return _counted(own, table.column("block")[0].as_py(), n_buckets, 1 << 63)
+
+    return run
+
+
+def _count_rows(n_buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        return _counted([np.frombuffer(x, U) for x in table.column("body").to_pylist()], table.column("block")[0].as_py(), n_buckets, 1 << 64)
 
     return run
 
@@ -95,50 +102,72 @@ def _totals(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "keys", "totals"])
 
 
-def _reduce(num: int, den: int, width: int):
-    def run(docs: pa.Table, freq: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table([pa.array([], t) for t in _TYPES], names=_NAMES)
-        docs = docs.sort_by("doc_id")
+class _Totals:
+    """Columns that more than one row has, with how many."""
+
+    def __init__(self, freq: pa.Table) -> None:
         keys = np.concatenate([np.frombuffer(x, U) for x in freq.column("keys").to_pylist()] or [np.zeros(0, U)])
         totals = np.concatenate([np.frombuffer(x, "<u4") for x in freq.column("totals").to_pylist()] or [np.zeros(0, "<u4")])
         order = np.argsort(keys, kind="stable")
-        keys, totals = keys[order], totals[order].astype(np.int64)
-        ids = docs.column("doc_id").to_pylist()
-        out: tuple[list, ...] = ([], [], [], [], [], [])
-        known: set[bytes] = set()
-        for row, sets in _sets(docs, width):
-            for i, own in enumerate(sets):
-                n = len(own)
-                sig = central = lead = body = None
-                if n:
-                    cutoff = int(np.searchsorted(own, FIRST_HALF))
-                    counted = own[:cutoff]
-                    at = np.minimum(np.searchsorted(keys, counted), max(len(keys) - 1, 0))
-                    shared = keys[at] == counted if len(keys) else np.zeros(cutoff, bool)
-                    df = np.where(shared, totals[at] if len(keys) else 1, 1)
-                    first = n - _least(n, num, den) + 1
-                    if cutoff - int(shared.sum()) < first:
-                        ranked = np.argsort(df, kind="stable")
-                        chosen = np.concatenate([counted[ranked], own[cutoff:]])[:first]
-                        alone = cutoff - int(shared.sum())
-                        rest = np.concatenate([counted[shared], own[cutoff:]])
-                        sig = np.array([n, kernel.mix(rest + U(1)).sum(dtype=U), kernel.mix(rest ^ U(0x5DEECE66D)).sum(dtype=U), alone], U).tobytes()
-                        if alone:  # a column of its own makes the row unlike any other
-                            sig += counted[~shared].tobytes()
-                        if sig not in known:
-                            known.add(sig)
-                            central = float(np.log(df).sum() / max(cutoff, 1))
-                            lead, body = chosen[alone:].view(np.int64), rest.tobytes()
-                for column, value in zip(out, (ids[row + i], n, sig, central, lead, body), strict=True):
-                    column.append(value)
-        return pa.table([pa.array(c, t) for c, t in zip(out, _TYPES, strict=True)], names=_NAMES)
+        self.keys, self.totals = keys[order], totals[order].astype(np.int64)
+
+    def of(self, columns: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(len(columns), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, columns), len(self.keys) - 1)
+        return np.where(self.keys[at] == columns, self.totals[at], 1)
+
+
+def _reduce(num: int, den: int, width: int):
+    def run(docs: pa.Table, freq: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [])
+        if docs.num_rows:
+            docs = docs.sort_by("doc_id")
+            totals = _Totals(freq)
+            ids = docs.column("doc_id").to_pylist()
+            known: set[bytes] = set()
+            for row, sets in _sets(docs, width):
+                for i, own in enumerate(sets):
+                    n = len(own)
+                    sig = body = None
+                    if n:
+                        cutoff = int(np.searchsorted(own, FIRST_HALF))
+                        shared = totals.of(own[:cutoff]) > 1
+                        if n - int((~shared).sum()) >= _least(n, num, den):
+                            sig = np.array([n, kernel.mix(own + U(1)).sum(dtype=U), kernel.mix(own ^ U(0x5DEECE66D)).sum(dtype=U)], U).tobytes()
+                            if sig not in known:
+                                known.add(sig)
+                                body = np.concatenate([own[:cutoff][shared], own[cutoff:]]).tobytes()
+                    for column, value in zip(out, (ids[row + i], n, sig, body), strict=True):
+                        column.append(value)
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n", "sig", "body"])
 
     return run
 
 
-_NAMES = ["doc_id", "n", "sig", "central", "lead", "body"]
-_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.binary()]
+_LEADS = "id long, n long, m long, central double, lead array<long>, body binary"
+
+
+def _lead(num: int, den: int):
+    """Rows without the columns they have alone: size, shared columns, and the first few of those in the common order."""
+
+    def run(rows: pa.Table, freq: pa.Table) -> pa.Table:
+        out: tuple[list, ...] = ([], [], [], [], [], [])
+        if rows.num_rows:
+            totals = _Totals(freq)
+            for i, n, body in zip(*(rows.column(c).to_pylist() for c in ("id", "n", "body")), strict=True):
+                own = np.frombuffer(body, U)
+                df = totals.of(own)
+                own, df = own[df > 1], df[df > 1]
+                need = _least(n, num, den)
+                if len(own) >= need:
+                    first = own[np.argsort(df, kind="stable")][: len(own) - need + 1]
+                    for column, value in zip(out, (i, n, len(own), float(np.log(df).mean()), first.view(np.int64), own.tobytes()), strict=True):
+                        column.append(value)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["id", "n", "m", "central", "lead", "body"])
+
+    return run
 
 
 def _overlaps(num: int, den: int):
@@ -193,9 +222,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, blocks: int, num: int, den: int
     return there.unionByName(sent).unionByName(asked).groupBy("block").applyInArrow(_overlaps(num, den), "src long, dst long")
 
 
-def _fits(a: str, b: str, num: int, den: int):
-    """Sizes that may link."""
-    return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
+def _fits(a: str, b: str, num: int, den: int, placed: bool = False) -> Column:
+    """Whether two rows' sizes and shared columns let them link; if ``placed``, as the column is the first one they share."""
+    m = lambda x: F.col(f"{x}.m") - F.col(f"{x}.pos") if placed else F.col(f"{x}.m")
+    left = F.least(m(a), m(b))
+    return left * (num + den) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * num
 
 
 def classes(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, each: int = 8 << 20) -> DataFrame:
@@ -208,10 +239,11 @@ def classes(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, each
     and link with nothing. Rows with a null doc_id link with nothing and keep a
     null component. Repeated rows are kept; they count as one document.
 
-    Links are looked for in three rounds. In the first two, every column's rows
-    are compared with one row (the one with the commonest columns), which joins
-    whole groups of copies by a pair per copy. In the third, all pairs of rows that share a
-    column and aren't joined by then are compared, so no link is missed.
+    Links are looked for in rounds. In all but the last, every column's rows
+    are compared with one of them: first the one with the commonest columns, then
+    one by chance, another for every column. That joins whole groups of copies by a few pairs a
+    copy. In the last round all pairs of rows that share a column and aren't joined by
+    then are compared, so no link is missed.
     """
     n_blocks = shares(docs, each)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -221,42 +253,42 @@ def classes(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, each
     reduced = stored(laid.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_reduce(num, den, width), _ROWS), "jaccard-rows")
 
     alike = reduced.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
-    rows = reduced.where("body is not null").withColumnRenamed("doc_id", "id").join(alike.select("id"), "id", "left_semi").select("id", "n", "central", "lead", "body")
-    bodies = rows.select("id", "n", "body")
-    postings = rows.select(F.explode("lead").alias("h"), "id", "n", "central")
-    many = postings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    postings = stored(postings.join(many, "h", "left_semi"), "jaccard-postings")
-
-    head = F.max_by(F.struct("id", "n"), F.struct("central", -F.col("id"))).alias("head")
-    leads = postings.groupBy("h").agg(head)
-    tried = stored(
-        postings.join(leads, "h").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb")).where((F.col("a") != F.col("b")) & _fits("na", "nb", num, den)).select("a", "b").distinct(),
-        "jaccard-pairs",
-    )
-    edges = cut(_verified(tried, bodies, n_blocks, num, den))
-    for last in (False, True):
+    rows = reduced.where("body is not null").withColumnRenamed("doc_id", "id").join(alike.select("id"), "id", "left_semi").select("id", "n", "body")
+    n_rows = shares(reduced, each)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int")).repartition(n_rows, "block")
+    totals = rows.groupBy("block").applyInArrow(_count_rows(n_rows), "bucket int, block int, keys binary, many binary").groupBy("bucket").applyInArrow(_totals, "block int, keys binary, totals binary")
+    leads = stored(rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_lead(num, den), _LEADS), "jaccard-leads")
+    bodies = leads.select("id", "n", "body")
+    postings = leads.select(F.posexplode("lead").alias("pos", "h"), "id", "n", "m", "central")
+
+    rank = F.struct("central", -F.col("id"))
+    own = F.struct("id", "n", "m", "pos")
+    heads = postings.groupBy("h").agg(F.max_by(own, rank).alias("head"), F.count("*").alias("c")).where("c > 1").drop("c")
+    me = postings.withColumn("me", own)
+    pairs = me.join(heads, "h").where((F.col("head.id") != F.col("id")) & _fits("me", "head", num, den))
+    tried = stored(pairs.select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct(), "jaccard-pairs")
+    edges = cut(_verified(tried, bodies, n_rows, num, den))
+    for turn in range(1, TURNS + 1):
         joined = connected_components(edges)
-        placed = postings.join(joined, "id", "left").select("h", "id", "n", "central", F.coalesce("component", "id").alias("component"))
-        mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-        left = placed.join(mixed, "h", "left_semi")
-        if last:
-            x, y = left.alias("x"), left.alias("y")
-            pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num))
-            pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        placed = postings.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        chance = F.xxhash64("h", "id", F.lit(turn))
+        mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by(own, chance).alias("y"), F.max_by("component", chance).alias("other")).where("lo <> hi").drop("lo", "hi")
+        if turn < TURNS:
+            pairs = placed.join(mixed, "h").withColumn("x", own).where((F.col("component") != F.col("other")) & _fits("x", "y", num, den))
         else:
-            left = stored(left, "jaccard-left")
-            heads = left.groupBy("h").agg(F.max_by("component", F.struct("central", -F.col("id"))).alias("main"))
-            others = left.join(heads, "h").where("component <> main").groupBy("h").agg(F.max_by(F.struct("id", "n", "component"), F.struct("central", -F.col("id"))).alias("head"))
-            pairs = left.join(others, "h").where(F.col("component") != F.col("head.component")).select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb")).where(_fits("na", "nb", num, den)).select("a", "b")
-        seen = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = stored(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
+            x = placed.join(mixed.select("h"), "h", "left_semi").select("h", "component", own.alias("x"))
+            y = x.select(F.col("h").alias("g"), F.col("component").alias("other"), F.col("x").alias("y"))
+            pairs = x.join(y, (F.col("h") == F.col("g")) & (F.col("x.id") < F.col("y.id")) & (F.col("component") != F.col("other")) & _fits("x", "y", num, den, True))
+        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"), "jaccard-pairs")
         tried = tried.unionByName(pairs)
-        edges = cut(edges.unionByName(_verified(pairs, bodies, n_blocks, num, den)))
+        edges = cut(edges.unionByName(_verified(pairs, bodies, n_rows, num, den)))
     found = reduced.where("sig is not null").select("doc_id", "sig").distinct().join(alike, "sig").join(connected_components(edges), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
     found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    whole = reduced.select("doc_id", "n").join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    every = reduced.select("doc_id", "n").join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = named.where("doc_id is null").withColumn("doc_id", F.lit(0).cast("long")).withColumn("block", F.lit(0)).groupBy("block").applyInArrow(_sizes(width), "n_shingles long")
-    return whole.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    return every.unionByName(nameless.select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
 def _sizes(width: int):
