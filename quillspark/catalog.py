@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import relational
+from quillspark.plans import relational, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (relational,):
+for _module in (relational, timeseries):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
