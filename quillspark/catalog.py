@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import relational, retail, timeseries
+from quillspark.plans import relational, retail, statistics, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (relational, timeseries, retail):
+for _module in (relational, timeseries, retail, statistics):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
