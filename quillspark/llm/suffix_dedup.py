@@ -31,6 +31,10 @@ from quillspark.llm.kernel import U, mix
 from quillspark.session import shares
 
 SEED = 36
+#: Groups of contexts for each block: a suffix array takes some eighty bytes for each of its own.
+FINER = 4
+#: About how many suffixes one array holds; those that share ``length`` bytes always stay together.
+SUFFIXES = 30_000
 _PLACE = U((1 << 24) - 1)
 _ODD = U(0x9E3779B97F4A7C15)
 
@@ -66,7 +70,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     lo = np.maximum(offsets[text], place - reach)
     hi = np.minimum(offsets[text + 1], place + length)
     context = mix(kernel.range_hash(sums, lo, hi) + (place - lo).astype(U) * _ODD)
-    return text, place, grams[place], context, lo, hi
+    # anchors are small hashes; mixed again they spread evenly
+    return text, place, mix(grams[place]), context, lo, hi
 
 
 class Block:
@@ -231,12 +236,21 @@ def maximal_repeats(data: np.ndarray, bounds: np.ndarray, where: np.ndarray, len
     new = np.concatenate([[True], h[1:] != h[:-1]])
     group = np.cumsum(new) - 1
     places = np.bincount(group, new | np.concatenate([[True], w[1:] != w[:-1]]))
-    start = np.sort(start[order[places[group] > 1]])
-    if len(start) < 2:
-        return
+    kept = places[group] > 1
+    start, group = start[order[kept]], group[kept]
+    # suffixes that share ``length`` bytes have one hash; each array holds all suffixes of some hashes
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    lo = 0
+    while lo < len(start):
+        k = int(np.searchsorted(cuts, lo + SUFFIXES, "right"))
+        hi = len(start) if k == len(cuts) else max(int(cuts[k - 1]), int(cuts[np.searchsorted(cuts, lo, "right")]))
+        yield from _tree(data, bounds, owner, room, np.sort(start[lo:hi]), length)
+        lo = hi
+
+
+def _tree(data: np.ndarray, bounds: np.ndarray, owner: np.ndarray, room: np.ndarray, start: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, int]]:
     width = int(room[start].max())
-    padded = np.concatenate([data, np.zeros(width, np.uint8)])
-    matrix = padded[start[:, None] + np.arange(width)]
+    matrix = data[np.minimum(start[:, None] + np.arange(width), len(data) - 1)]
     matrix[np.arange(width) >= room[start][:, None]] = 0
     suffix = np.argsort(matrix.view(f"S{width}").ravel(), kind="stable")
     start, matrix = start[suffix], matrix[suffix]
@@ -277,11 +291,15 @@ def _repeats(length: int):
         if not out_owner:
             return _table([], _NOTES)
         own, lo, n = np.concatenate(out_owner), np.concatenate(out_lo), np.concatenate(out_n)
-        order = np.argsort(block[own], kind="stable")
-        own, lo, n = own[order], lo[order], n[order]
-        names, first = np.unique(block[own], return_index=True)
+        begin = (rank[own] << 32) | lo
+        order = np.argsort(begin, kind="stable")
+        own, begin, end = own[order], begin[order], (begin + n)[order]
+        reach = np.maximum.accumulate(end)
+        first = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
+        own, lo, hi = own[first], begin[first] & 0xFFFFFFFF, reach[np.append(first[1:], len(own)) - 1] & 0xFFFFFFFF
+        names, first = np.unique(block[own], return_index=True)  # ranks follow the blocks
         ends = np.append(first[1:], len(own))
-        return _table([(int(b), 1, text[own[i:j]].astype("<u4").tobytes(), lo[i:j].astype("<u4").tobytes(), (lo[i:j] + n[i:j]).astype("<u4").tobytes()) for b, i, j in zip(names, first.tolist(), ends.tolist(), strict=True)], _NOTES)
+        return _table([(int(b), 1, text[own[i:j]].astype("<u4").tobytes(), lo[i:j].astype("<u4").tobytes(), hi[i:j].astype("<u4").tobytes()) for b, i, j in zip(names, first.tolist(), ends.tolist(), strict=True)], _NOTES)
 
     return run
 
@@ -349,7 +367,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     laid = named.withColumn("block", block).repartition(n, "block")
     counted = laid.groupBy("block").applyInArrow(_count(length, n), _schema(_COUNTED))
     notes = counted.groupBy("bucket").applyInArrow(_settle, _schema(_NOTES))
-    raw = laid.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_contexts(length, n), _schema(_RAW))
+    raw = laid.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_contexts(length, FINER * n), _schema(_RAW))
     spans = raw.groupBy("bucket").applyInArrow(_repeats(length), _schema(_NOTES))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
     return laid.groupBy("block").cogroup(notes.unionByName(spans).groupBy("block")).applyInArrow(_cut_out(length, keep_text), schema)
