@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import mining, relational, retail, statistics, timeseries
+from quillspark.plans import graphs, mining, relational, retail, statistics, texts, timeseries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (relational, timeseries, retail, statistics, mining):
+for _module in (relational, timeseries, retail, statistics, mining, graphs, texts):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -37,3 +37,103 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     heads = now.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct()
     return now.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(heads)
+
+
+def shared_edges(pairs: DataFrame, user: str, item: str) -> DataFrame:
+    """``src < dst, n``: users with common items, by an equality join on the item, never a product of users."""
+    rows = pairs.select(F.col(user).alias("u"), F.col(item).alias("i")).distinct()
+    left, right = rows.select(F.col("u").alias("src"), "i"), rows.select(F.col("u").alias("dst"), "i")
+    return left.join(right, "i").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    return both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+
+
+def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """``id, label`` after synchronous rounds: each vertex takes its neighbours' most frequent label, ties the smallest.
+
+    Votes are counted by vertex and label first, so a vertex of high degree costs as many rows as its neighbours have labels.
+    """
+    ways = cut(both_ways(edges))
+    labels = ways.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    for _ in range(rounds):
+        votes = ways.join(labels, ways["dst"] == labels["id"]).groupBy(F.col("src"), "label").agg(F.count("*").alias("n"))
+        labels = cut(votes.groupBy(F.col("src").alias("id")).agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label")))
+    return labels
+
+
+def communities(labels: DataFrame, label: str = "label") -> DataFrame:
+    """``size, first, members`` by size and first member."""
+    grouped = labels.groupBy(label).agg(F.array_sort(F.collect_list("id")).alias("m"))
+    return grouped.select(F.size("m").alias("size"), F.col("m")[0].alias("first"), F.array_join(F.transform("m", lambda x: x.cast("string")), ", ").alias("members")).orderBy("size", "first")
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row ``q``: sum over communities of twice the inner edges less K^2 / 2m, over 2m; both orders and i = j count.
+
+    ``edges`` are those of the original graph; vertices without a label don't count.
+    """
+    lab = labels.select("id", "label")
+    inner = edges.join(lab.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(lab.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b").groupBy("a").agg(F.count("*").alias("e"))
+    k = degrees(edges).join(lab, "id").groupBy("label").agg(F.sum("degree").alias("k"))
+    m = F.broadcast(edges.agg((F.count("*") * 2.0).alias("m2")))
+    return k.join(inner, k["label"] == inner["a"], "left").join(m).agg((F.sum(2 * F.coalesce("e", F.lit(0)) - F.col("k") * F.col("k") / F.col("m2")) / F.first("m2")).alias("q"))
+
+
+def betweenness(edges: DataFrame, most: int = 50) -> DataFrame:
+    """``src, dst, score`` of every edge: shortest paths over it, from all sources, halved.
+
+    All sources search together: a row per source and vertex reached, a join for
+    each level. Credit then flows back level by level in proportion to the number of shortest paths.
+    """
+    ways = cut(both_ways(edges))
+    front = ways.select(F.col("src").alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
+    reached = levels = cut(front)
+    depth = 0
+    while depth < most:
+        step = levels.where(F.col("d") == depth).join(ways, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        fresh = cut(step.join(reached.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(depth + 1).alias("d"), "paths"))
+        if fresh.isEmpty():
+            break
+        reached = levels = cut(reached.unionByName(fresh))
+        depth += 1
+    credit, shares = None, None
+    for d in range(depth, 0, -1):
+        own = reached.where(F.col("d") == d)
+        if credit is None:
+            own = own.withColumn("credit", F.lit(1.0))
+        else:
+            own = own.join(credit, ["s", "v"], "left").withColumn("credit", 1 + F.coalesce("got", F.lit(0.0))).drop("got")
+        up = reached.where(F.col("d") == d - 1).select("s", F.col("v").alias("p"), F.col("paths").alias("pp"))
+        given = cut(own.join(ways, F.col("v") == F.col("src")).join(up, (own["s"] == up["s"]) & (F.col("dst") == F.col("p"))).select(own["s"].alias("s"), F.col("v").alias("c"), "p", (F.col("credit") * F.col("pp") / F.col("paths")).alias("share")))
+        credit = given.groupBy("s", F.col("p").alias("v")).agg(F.sum("share").alias("got"))
+        shares = given if shares is None else shares.unionByName(given)
+    if shares is None:
+        return edges.select("src", "dst", F.lit(0.0).alias("score"))
+    return shares.groupBy(F.least("c", "p").alias("src"), F.greatest("c", "p").alias("dst")).agg((F.sum("share") / 2).alias("score"))
+
+
+def girvan_newman(edges: DataFrame, most: int = 1000, stale: int = 30) -> tuple[DataFrame, float, int]:
+    """The labels of best modularity, that modularity, and the number of cuts: all edges of greatest betweenness go in each.
+
+    Modularity counts the original edges; a later cut of equal value replaces an
+    earlier one. Ends without edges, after ``most`` cuts, or after ``stale`` without gain. One number a cut comes to the driver.
+    """
+    whole = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct())
+    vertices = cut(both_ways(whole).select(F.col("src").alias("id")).distinct())
+    now, best, value, idle, cuts = whole, None, float("-inf"), 0, 0
+    while True:
+        joined = connected_components(now)
+        labels = cut(vertices.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("label")))
+        q = modularity(whole, labels).first().q
+        if q is not None and q >= value:
+            best, value, idle = labels, q, 0
+        else:
+            idle += 1
+        if idle >= stale or cuts >= most or now.isEmpty():
+            return best, value, cuts
+        scores = cut(betweenness(now))
+        top = scores.agg(F.max("score").alias("t")).first().t
+        now = cut(scores.where(F.col("score") < top - 1e-9).select("src", "dst"))
+        cuts += 1
