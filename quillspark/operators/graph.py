@@ -127,8 +127,8 @@ def girvan_newman(edges: DataFrame, most: int = 1000, stale: int = 30) -> tuple[
         joined = connected_components(now)
         labels = cut(vertices.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("label")))
         q = modularity(whole, labels).first().q
-        if q is not None and q >= value:
-            best, value, idle = labels, q, 0
+        if best is None or (q is not None and q >= value):
+            best, value, idle = labels, value if q is None else q, 0
         else:
             idle += 1
         if idle >= stale or cuts >= most or now.isEmpty():
