@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Catalyst's estimate for frames that no file backs is far beyond any table.
+UNKNOWN = 1 << 50
+
+
 def session(app: str = "quillspark", cores: int | str = "*", **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution; ``conf`` keys use ``__`` for dots."""
     builder = (
@@ -58,5 +62,8 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def shares(df: DataFrame, each: int, least: int = 8) -> int:
-    """How many partitions of about ``each`` input bytes hold ``df``."""
-    return max(least, math.ceil(min(input_bytes(df), 1 << 57) / each))
+    """How many partitions of about ``each`` input bytes hold ``df``; the shuffle's own number where Catalyst has no size."""
+    size = input_bytes(df)
+    if size >= UNKNOWN:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, math.ceil(size / each))
