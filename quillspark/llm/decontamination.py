@@ -142,6 +142,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
 def _parts(docs: DataFrame, benchmark: DataFrame, sent: int) -> list:
     """The benchmark as broadcasts of at most about ``sent`` seeds each."""
     spark = docs.sparkSession
+    kernel.small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     measured = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     passes = max(1, -(-int(measured) * len(MASKS) // (2 * sent)))

@@ -229,7 +229,7 @@ def _fits(a: str, b: str, num: int, den: int, placed: bool = False) -> Column:
     return left * (num + den) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * num
 
 
-def classes(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, each: int = 8 << 20) -> DataFrame:
+def classes(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, each: int = 5 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
     Two documents link when ``den * intersection >= num * union`` of their sets
@@ -245,6 +245,7 @@ def classes(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, each
     copy. In the last round all pairs of rows that share a column and aren't joined by
     then are compared, so no link is missed.
     """
+    kernel.small_batches(docs.sparkSession)
     n_blocks = shares(docs, each)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     laid = named.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block")).repartition(n_blocks, "block")

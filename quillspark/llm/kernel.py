@@ -19,6 +19,16 @@ U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 
 
+#: Rows and bytes of an Arrow batch of whole texts; Spark's own bounds suit rows of numbers.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Let Arrow batches hold ``BATCH_ROWS`` rows at most, so that the memory beside the heap stays small for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (splitmix64's)."""
     h = h ^ (h >> U(30))

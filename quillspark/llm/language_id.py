@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.kernel import U, mix
+from quillspark.llm.kernel import U, mix, small_batches
 
 UNKNOWN = "und"
 #: Between words and between texts.
@@ -90,12 +90,12 @@ class Model:
             np.add.at(total, which, counts)
             np.add.at(kinds, which, counts > 0)
             gamma = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            lower = below[np.searchsorted(below_keys, suffix)] if k else np.full((len(keys), n), 1 / len(keys))
+            lower = below[np.searchsorted(below_keys, suffix)] if k else np.full((len(keys), n), 1 / max(len(keys), 1))
             p = np.maximum(counts - discount, 0) / np.maximum(total[which], 1) + gamma[which] * lower
             if k:
                 gammas.append((names, gamma))
             else:
-                self.floor = (-np.log(gamma[0] / len(keys))).astype(np.float32)
+                self.floor = (-np.log(gamma[0] / len(keys))).astype(np.float32) if len(keys) else np.zeros(n, np.float32)
             parts.append((keys, p, keys))
             below_keys, below = keys, p
             sizes.append(len(keys))
@@ -216,6 +216,7 @@ def predict(docs: DataFrame, model: Model, limits: np.ndarray, reject: bool = Tr
     get ``und`` and score 0. A text that costs more than its language's limit is
     ``rejected``, and ``und`` too where ``reject``.
     """
+    small_batches(docs.sparkSession)
     names = np.array(model.languages, object)
     shared = docs.sparkSession.sparkContext.broadcast((model, limits))  # bounded by the sample of fit()
 

@@ -141,6 +141,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: dict[s
     Equal rows give equal results; a null doc_id stays null.
     """
     found = templates(PHRASES if phrases is None else phrases, NOTICES if notices is None else notices, threshold)
+    kernel.small_batches(docs.sparkSession)
     vocabulary = np.unique(np.concatenate([t.words for t in found]))
     index = Index(found, vocabulary, frequencies(docs, vocabulary))
 

@@ -20,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.kernel import small_batches
 from quillspark.session import cut
 
 #: Chunks a worker remembers before it starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Marks that end a chunk after a letter, and one that separates chunks.
 _TAIL = ".,!?%*&$#|;:)"
 _MARK = "\x01"
@@ -115,8 +116,11 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = 4096, end_id: int = 1)
     A null text counts as empty and gives one piece of ``end_id`` alone.
     """
 
+    small_batches(docs.sparkSession)
+
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
+        tok.known = {}  # the worker goes on to other tasks; what this one remembers is its own
         end, size = int(end_id).to_bytes(4, "little"), 4 * limit
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
@@ -127,6 +131,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = 4096, end_id: int = 1)
                     for column, value in zip(out, (doc, k, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=_PIECE.names)
+        tok.known = {}
 
     return docs.select("doc_id", "text").mapInArrow(cut_up, _PIECE)
 

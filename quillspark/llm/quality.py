@@ -103,6 +103,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def vectors(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``x``, its statistics; a null text counts as empty."""
 
+    kernel.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [statistics(data, offsets) for _, _, data, offsets in kernel.blocks(batch.column(1))]

@@ -361,6 +361,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     """
     if length <= SEED:
         raise ValueError(f"length must be over {SEED}")
+    kernel.small_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = shares(docs, each)
     block = idblocks.block_of(F.col("doc_id"), idblocks.bounds(named, n))

@@ -18,6 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.kernel import small_batches
 from quillspark.session import shared_dir, stored
 
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string"
@@ -81,6 +82,7 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     names. Repeated rows are records of their own; a null page_id is a response.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     dealt = rows.join(roles(rows, least), "page_id", "left").select("page_id", "url", "html", "refers_to")
