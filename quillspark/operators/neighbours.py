@@ -95,3 +95,50 @@ def cluster_quota(scores: DataFrame, cluster: str, score: Column, item: str, qua
     count = F.broadcast(chosen.agg(F.count("*").alias("_c")))
     order = Window.partitionBy(cluster).orderBy(item)
     return scores.join(chosen, cluster).join(count).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= F.bround(quantity / F.col("_c"), 0)).select(cluster, item)
+
+
+def impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, most: int = 2_000_000) -> DataFrame:
+    """``df`` with nulls of ``columns`` filled by the mean of the ``k`` nearest rows that have the column, ties by key.
+
+    Distance is Euclidean over the columns that both rows have, scaled up for those they lack; a row that shares none gives nothing,
+    and what no row can fill becomes the column's mean. Rows with a null are the query set, worked off in blocks of ``most`` numbers.
+    """
+    spark = df.sparkSession
+    plain = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(c) for c in columns])
+    gaps = plain.where(" OR ".join(f"`{c}` IS NULL" for c in columns))
+    blocks = max(1, -(-gaps.count() * len(columns) // most))
+    kind = df.schema[key].dataType.simpleString()
+    found = None
+    for b in range(blocks):
+        part = gaps.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else gaps
+        one = plain.mapInPandas(_donors(spark.sparkContext.broadcast(part.toPandas()), list(columns), k), f"id {kind}, `column` string, donor {kind}, distance double, value double")
+        found = one if found is None else found.unionByName(one)
+    order = Window.partitionBy("id", "column").orderBy("distance", "donor")
+    best = found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).groupBy("id", "column").agg(F.avg("value").alias("v"))
+    wide = best.groupBy(F.col("id").alias("_id")).agg(*[F.max(F.when(F.col("column") == c, F.col("v"))).alias(f"_v_{c}") for c in columns])
+    means = F.broadcast(plain.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns]))
+    joined = df.join(wide, F.col(key) == F.col("_id"), "left").join(means)
+    return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_v_{c}"), F.col(f"_m_{c}")) for c in columns}).select(*df.columns)
+
+
+def _donors(shared, columns: list[str], k: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        ask = shared.value
+        q = ask[columns].to_numpy(float)
+        best: dict[tuple[int, int], list] = {}
+        for frame in frames:
+            x, ids = frame[columns].to_numpy(float), frame["id"].to_numpy()
+            for i in range(len(ask)):
+                both = ~np.isnan(x) & ~np.isnan(q[i])
+                n = both.sum(axis=1)
+                d = np.sqrt(np.where(both, (np.nan_to_num(x) - np.nan_to_num(q[i])) ** 2, 0).sum(axis=1) * len(columns) / np.maximum(n, 1))
+                for j in np.flatnonzero(np.isnan(q[i])):
+                    use = np.flatnonzero((n > 0) & ~np.isnan(x[:, j]) & (ids != ask["id"].iloc[i]))
+                    near = use[np.lexsort((ids[use], d[use]))[:k]]
+                    best[i, j] = sorted(best.get((i, j), []) + [(float(d[r]), ids[r], float(x[r, j])) for r in near])[:k]
+        rows = [(ask["id"].iloc[i], columns[j], donor, dist, v) for (i, j), own in best.items() for dist, donor, v in own]
+        yield pd.DataFrame(rows, columns=["id", "column", "donor", "distance", "value"])
+
+    return run

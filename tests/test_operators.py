@@ -176,3 +176,10 @@ def test_reservoirs_of_parts_merge(spark):
     whole = rows(sketches.reservoir(a.union(b), "id", 50).select("id"))
     parts = sketches.reservoir(a, "id", 50).select("id").union(sketches.reservoir(b, "id", 50).select("id"))
     assert len(whole) == 50 and rows(sketches.reservoir(parts, "id", 50).select("id")) == whole
+
+
+def test_impute_takes_the_nearest_rows_that_have_the_column(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (2, 1.1, 10.0), (3, 1.2, 20.0), (4, 9.0, 90.0), (5, None, None)], "id long, a double, b double")
+    got = {r.id: (r.a, r.b) for r in neighbours.impute(df, "id", ["a", "b"], 2).collect()}
+    assert got[1] == (1.0, 15.0) and got[5] == (pytest.approx(3.075), pytest.approx(40.0)) and got[4] == (9.0, 90.0)
+    assert {r.id: r.b for r in neighbours.impute(df, "id", ["a", "b"], 2, most=1).collect()}[1] == 15.0
