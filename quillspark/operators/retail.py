@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import cut
+
 
 def segments(daily: DataFrame, sku: str, day: str, qty: str, many: int = 168, few: int = 70, listed: DataFrame | None = None) -> DataFrame:
     """``sku, total, days, segment``: normal, long_tail or seasonal by the quartiles of total quantity and active days.
@@ -51,11 +53,12 @@ def allocate(demand: DataFrame, stock: DataFrame, preferences: DataFrame, rounds
     In round r every city asks its r-th hub of ``preferences`` (``city, hub, rank, price``)
     for what it still needs; within a hub and sku cities come in order of their key. What is left goes on to the next round.
     """
-    open_need, open_stock, out = demand, stock, None
+    open_need, open_stock, out = cut(demand), cut(stock), None
     for r in range(1, rounds + 1):
         asked = open_need.where("need > 0").join(F.broadcast(preferences.where(F.col("rank") == r)), "city").join(open_stock, ["hub", "sku"], "left").na.fill(0.0, ["stock"])
         order = Window.partitionBy("hub", "sku").orderBy("city")
-        served = asked.withColumn("taken", depletion(F.col("need"), F.col("stock"), order))
+        # each round reads the one before three times, so its lineage is cut
+        served = cut(asked.withColumn("taken", depletion(F.col("need"), F.col("stock"), order)))
         rows = served.select("city", "sku", "hub", F.lit(r).alias("round"), "taken", (F.col("taken") * F.col("price")).alias("cost"))
         out = rows if out is None else out.unionByName(rows)
         if r < rounds:
