@@ -44,7 +44,7 @@ def folder_csv(spark: SparkSession, path: str, schema: str, glob: str = "*.csv")
 
 def text_tree(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all files below ``path`` with the file's folder and name, in order of lines within a file."""
-    whole = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     names = whole.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("folder"), F.col("_metadata.file_name").alias("file"), "value")
     return names.select("folder", "file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
