@@ -43,6 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Partitions of one shuffle at most; a partition then holds several groups, which are worked off one by one.
+PARTITIONS = 100_000
+
+
+def dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into a partition per group, as far as a shuffle can have so many."""
+    return df.repartition(min(groups, PARTITIONS), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, for small frames inside loops."""
     shared_dir(df.sparkSession)
