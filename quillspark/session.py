@@ -43,13 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Partitions of one shuffle at most; a partition then holds several groups, which are worked off one by one.
-PARTITIONS = 100_000
+#: Partitions of one shuffle at most, and groups that one holds where there are more of them than cores.
+PARTITIONS, GROUPS = 100_000, 16
+
+
+def _tasks(spark: SparkSession, wanted: int) -> int:
+    """``wanted``, but at least two for each core, so that fewer and larger files leave no core idle."""
+    return max(2 * spark.sparkContext.defaultParallelism, wanted)
 
 
 def dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` into a partition per group, as far as a shuffle can have so many."""
-    return df.repartition(min(groups, PARTITIONS), *keys)
+    """``df`` dealt by ``keys`` into partitions of several groups, which are worked off one by one."""
+    return df.repartition(min(groups, PARTITIONS, _tasks(df.sparkSession, -(-groups // GROUPS))), *keys)
+
+
+def compact(df: DataFrame, each: int = 64 << 20) -> DataFrame:
+    """``df`` in fewer partitions of about ``each`` input bytes, without a shuffle, for writing."""
+    return df.coalesce(_tasks(df.sparkSession, shares(df, each, 1)))
 
 
 def cut(df: DataFrame) -> DataFrame:
