@@ -6,28 +6,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import decontamination, jaccard_join, packing, quality, secret_scan
-from quillspark.session import stored
+from quillspark.session import compact, stored
 from quillspark.sources.tables import table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+    return compact(quality.accepted(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
-    return jaccard_join.one_of_each(docs)
+    return compact(jaccard_join.one_of_each(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+    return compact(decontamination.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
-    return secret_scan.redacted(docs, secret_scan.train(secret_scan.labelled_findings(spark)))
+    return compact(secret_scan.redacted(docs, secret_scan.train(secret_scan.labelled_findings(spark))))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

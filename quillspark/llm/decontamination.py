@@ -179,6 +179,7 @@ def _without(docs: DataFrame, shared, least: int, share: float) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.release()
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for row, _, data, offsets in kernel.blocks(batch.column(at)):

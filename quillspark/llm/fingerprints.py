@@ -99,17 +99,17 @@ def compared(docs: DataFrame, each: int = 16 << 20) -> DataFrame:
     first row of the one below.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = shares(docs, each)
-    cuts = idblocks.bounds(rows, n)
-    rows = rows.withColumn("block", idblocks.block_of(F.col("doc_id"), cuts))
-    # at most one row of each range comes to the driver: the largest doc_id of it
-    tops = sorted((r.block, r.top) for r in rows.groupBy("block").agg(F.max("doc_id").alias("top")).collect())
-    marked = with_bins(rows, "text", "bins")
-    upper = {b: tops[(k + 1) % len(tops)][0] for k, (b, _) in enumerate(tops)}
-    top = F.create_map(*[F.lit(x) for b, t in tops if t is not None for x in (b, t)]) if any(t is not None for _, t in tops) else F.lit(None).cast("map<int,bigint>")
-    above = F.create_map(*[F.lit(x) for b, u in upper.items() for x in (b, u)]) if upper else F.lit(None).cast("map<int,int>")
-    first = F.col("doc_id").eqNullSafe(F.element_at(top, F.col("block")))
-    dealt = marked.withColumn("copy", F.explode(F.when(first, F.array(F.struct(F.col("block").alias("to"), F.lit(0).alias("guest")), F.struct(F.element_at(above, F.col("block")).alias("to"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("block").alias("to"), F.lit(0).alias("guest"))))))
+    n = min(shares(docs, each), idblocks.RANGES)
+    placed = rows.withColumn("block", idblocks.blocks(rows, n).of(F.col("doc_id")))
+    marked = with_bins(placed, "text", "bins")
+    # a row for each range, ten thousand at most: its largest doc_id and the range above, after the last the first
+    order = Window.orderBy("block")
+    ends = placed.groupBy("block").agg(F.max("doc_id").alias("top"))
+    above = F.coalesce(F.lead("block").over(order), F.first("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    tops = F.broadcast(ends.select("block", "top", above.alias("above")))
+    own, guest = F.struct(F.col("block").alias("to"), F.lit(0).alias("guest")), F.struct(F.col("above").alias("to"), F.lit(1).alias("guest"))
+    copies = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, guest)).otherwise(F.array(own))
+    dealt = marked.join(tops, "block").withColumn("copy", F.explode(copies))
     dealt = dealt.select("doc_id", "text", "bins", F.col("copy.to").alias("to"), F.col("copy.guest").alias("guest"))
     line = Window.partitionBy("to").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
     paired = dealt.repartition(n, "to").withColumn("next", F.lead(F.struct("text", "bins")).over(line)).where("guest = 0")

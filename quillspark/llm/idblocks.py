@@ -3,31 +3,52 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds that come to the driver at most.
-BOUNDS = 10_000
-
-
-def bounds(docs: DataFrame, n: int, key: str = "doc_id") -> list[int]:
-    """At most ``n - 1`` distinct values of ``key`` that part the rows into about equal shares."""
-    n = min(n, BOUNDS)
-    if n < 2:
-        return []
-    found = docs.select(F.percentile_approx(key, [k / n for k in range(1, n)], 20 * n).alias("b")).first().b
-    return sorted(set(found or []))
-
-
-def block_of(key: Column, cuts: list[int]) -> Column:
-    """How many of ``cuts`` are at most ``key``: coarse steps first, then those of one step. Null keys come first."""
-    if not cuts:
-        return F.lit(0)
-    step = math.isqrt(len(cuts) - 1) + 1
-    parts = [cuts[k : k + step] for k in range(0, len(cuts), step)]
-    array = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
-    below = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
-    coarse = below(array([p[0] for p in parts]))
-    fine = F.element_at(F.array(*[array(p) for p in parts]), coarse)
-    return F.when(key.isNull() | (key < cuts[0]), 0).otherwise((coarse - 1) * step + below(fine)).cast("int")
+#: Ranges whose bounds come to the driver at most; beyond that each range is cut evenly into blocks.
+RANGES = 10_000
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """``edges``: the lowest key, the bounds between ranges, the highest key; ``parts`` blocks in each range."""
+
+    edges: tuple[int, ...]
+    parts: int
+
+    def of(self, key: Column) -> Column:
+        """The number of the key's block, null keys in the first. Two searches of about the root of the number of ranges."""
+        cuts = list(self.edges[1:-1])
+        if not cuts and self.parts == 1:
+            return F.lit(0)
+        array = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
+        below = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
+        found = F.lit(0)
+        if cuts:
+            step = math.isqrt(len(cuts) - 1) + 1
+            groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+            coarse = below(array([g[0] for g in groups]))
+            fine = F.element_at(F.array(*[array(g) for g in groups]), coarse)
+            found = F.when(key < cuts[0], 0).otherwise((coarse - 1) * step + below(fine))
+        if self.parts > 1:
+            low, high = F.get(array(self.edges[:-1]), found.cast("int")), F.get(array(self.edges[1:]), found.cast("int"))
+            share = (key - low).cast("double") / F.greatest(high - low, F.lit(1)).cast("double")
+            found = found * self.parts + F.least(F.lit(self.parts - 1), F.floor(share * self.parts).cast("int"))
+        return F.when(key.isNull(), 0).otherwise(found).cast("int")
+
+
+def blocks(docs: DataFrame, n: int, key: str = "doc_id", ranges: int = RANGES) -> Blocks:
+    """About ``n`` blocks from at most ``ranges`` approximate quantiles of ``key``.
+
+    Ids within a range, one ten-thousandth of all at the most, are taken to be spread evenly.
+    """
+    cut = max(1, min(n, ranges))
+    wanted = [k / cut for k in range(1, cut)]
+    row = docs.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), *([F.percentile_approx(key, wanted, 20 * cut).alias("b")] if wanted else [])).first()
+    if row.lo is None:
+        return Blocks((0, 0), 1)
+    inner = sorted({b for b in (row.b if wanted else []) if row.lo < b <= row.hi})
+    return Blocks((row.lo, *inner, row.hi), -(-n // cut))

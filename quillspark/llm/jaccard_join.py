@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import kernel
 from quillspark.llm.kernel import U
 from quillspark.operators.graph import connected_components
-from quillspark.session import cut, shares, stored
+from quillspark.session import cut, dealt, shares, stored
 
 #: Columns below this hash are counted over all documents; a row that has too many of them
 #: for itself alone is out. All columns of the rows that are left, equal ones as one, are counted then.
@@ -219,7 +219,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, blocks: int, num: int, den: int
     sent = pairs.select("block", F.col("a").alias("id")).distinct().join(rows, "id").select("block", F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("other"), "n", "body")
     there = rows.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").select(home("id").alias("block"), F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("other"), "n", "body")
     asked = pairs.select("block", F.lit(2).alias("kind"), F.col("b").alias("id"), F.col("a").alias("other"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("body"))
-    return there.unionByName(sent).unionByName(asked).groupBy("block").applyInArrow(_overlaps(num, den), "src long, dst long")
+    return there.unionByName(sent).unionByName(asked).groupBy("block").applyInArrow(kernel.lean(_overlaps(num, den)), "src long, dst long")
 
 
 def _fits(a: str, b: str, num: int, den: int, placed: bool = False) -> Column:
@@ -248,17 +248,17 @@ def classes(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, each
     kernel.small_batches(docs.sparkSession)
     n_blocks = shares(docs, each)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    laid = named.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block")).repartition(n_blocks, "block")
-    counted = laid.groupBy("block").applyInArrow(_count(n_blocks, width), "bucket int, block int, keys binary, many binary")
-    totals = counted.groupBy("bucket").applyInArrow(_totals, "block int, keys binary, totals binary")
-    reduced = stored(laid.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_reduce(num, den, width), _ROWS), "jaccard-rows")
+    laid = dealt(named.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block")), n_blocks, "block")
+    counted = laid.groupBy("block").applyInArrow(kernel.lean(_count(n_blocks, width)), "bucket int, block int, keys binary, many binary")
+    totals = counted.groupBy("bucket").applyInArrow(kernel.lean(_totals), "block int, keys binary, totals binary")
+    reduced = stored(laid.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(kernel.lean(_reduce(num, den, width)), _ROWS), "jaccard-rows")
 
     alike = reduced.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("id"))
     rows = reduced.where("body is not null").withColumnRenamed("doc_id", "id").join(alike.select("id"), "id", "left_semi").select("id", "n", "body")
     n_rows = shares(reduced, each)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int")).repartition(n_rows, "block")
-    totals = rows.groupBy("block").applyInArrow(_count_rows(n_rows), "bucket int, block int, keys binary, many binary").groupBy("bucket").applyInArrow(_totals, "block int, keys binary, totals binary")
-    leads = stored(rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_lead(num, den), _LEADS), "jaccard-leads")
+    rows = dealt(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_rows)).cast("int")), n_rows, "block")
+    totals = rows.groupBy("block").applyInArrow(kernel.lean(_count_rows(n_rows)), "bucket int, block int, keys binary, many binary").groupBy("bucket").applyInArrow(kernel.lean(_totals), "block int, keys binary, totals binary")
+    leads = stored(rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(kernel.lean(_lead(num, den)), _LEADS), "jaccard-leads")
     bodies = leads.select("id", "n", "body")
     postings = leads.select(F.posexplode("lead").alias("pos", "h"), "id", "n", "m", "central")
 

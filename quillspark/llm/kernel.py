@@ -9,11 +9,18 @@ block or the longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+except OSError:
+    _libc = None
+
 BLOCK = 1 << 20
 U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -29,6 +36,40 @@ def small_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What lets go of memory that a worker keeps from task to task.
+holders: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the system; workers live on with what they hold."""
+    for forget in holders:
+        forget()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def lean(f):
+    """``f`` of one group's table, or of both groups' tables, that releases memory before it ends."""
+    if f.__code__.co_argcount == 2:
+
+        def both(left: pa.Table, right: pa.Table) -> pa.Table:
+            try:
+                return f(left, right)
+            finally:
+                release()
+
+        return both
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            release()
+
+    return one
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (splitmix64's)."""
     h = h ^ (h >> U(30))

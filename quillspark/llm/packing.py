@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.kernel import small_batches
-from quillspark.session import cut
+from quillspark.llm.kernel import holders, small_batches
+from quillspark.session import compact, cut
 
-#: Chunks a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Chunks in each half of a worker's memory, some 60 MB.
+REMEMBERED = 350_000
+#: Characters of texts that are learnt together.
+TOGETHER = 10_000
 #: Marks that end a chunk after a letter, and one that separates chunks.
 _TAIL = ".,!?%*&$#|;:)"
 _MARK = "\x01"
@@ -55,6 +57,7 @@ class ChunkTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         (self.mark,) = self.inner.encode(_MARK, add_special_tokens=False).ids
 
     def _ids(self, chunks: list[str]) -> None:
@@ -72,42 +75,48 @@ class ChunkTokenizer:
             if _MARK in chunk:
                 self.known[chunk] = np.asarray(self.inner.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, missing: list[str]) -> None:
-        known = self.known
-        parts: list[tuple[str, str, str]] = []
-        fresh: dict[str, None] = {}
-        for chunk in missing:
-            low = chunk if "Σ" in chunk or "İ" in chunk else chunk.lower()
-            core = low.rstrip(_TAIL)
-            if not core or not core[-1].isalpha():
-                core = low
-            tail = low[len(core) :]
-            parts.append((chunk, core, tail))
-            if core not in known:
-                fresh[core] = None
-            if tail not in known:
-                fresh[tail] = None
+    def _learn(self, missing: set[str]) -> None:
+        known, before = self.known, self.before
+        if before:
+            known.update((c, before[c]) for c in missing if c in before)
+            missing = missing.difference(known)
+        chunks = list(missing)
+        lows = [c if "Σ" in c or "İ" in c else c.lower() for c in chunks]
+        cores = [x.rstrip(_TAIL) for x in lows]
+        cores = [k if k and k[-1].isalpha() else x for k, x in zip(cores, lows, strict=True)]
+        tails = [x[len(k) :] for k, x in zip(cores, lows, strict=True)]
+        fresh = set(cores).union(tails).difference(known)
+        if before:
+            known.update((c, before[c]) for c in fresh if c in before)
+            fresh = fresh.difference(known)
         if fresh:
             self._ids(list(fresh))
-        for chunk, core, tail in parts:
-            known[chunk] = known[core] + known[tail]
+        get = known.__getitem__
+        known.update(zip(chunks, map(bytes.__add__, map(get, cores), map(get, tails)), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of some texts, learnt together."""
+        if len(self.known) > REMEMBERED:  # what was used lately stays in the older half
+            self.known, self.before = {}, self.known
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        missing = set().union(*split).difference(self.known)
+        if missing:
+            self._learn(missing)
+        get = self.known.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in split]
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            self._learn([c for c in dict.fromkeys(chunks) if c not in known])
-            return b"".join([known[c] for c in chunks])
+        return self.encode_all([text])[0]
+
+    def forget(self) -> None:
+        self.known, self.before = {}, {}
 
 
 @lru_cache(maxsize=1)
 def tokenizer(path: str) -> ChunkTokenizer:
-    return ChunkTokenizer(path)
+    found = ChunkTokenizer(path)
+    holders.append(found.forget)  # other operators' tasks in this worker drop what it remembers
+    return found
 
 
 def pieces(docs: DataFrame, vocabulary: str, limit: int = 4096, end_id: int = 1) -> DataFrame:
@@ -120,18 +129,25 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = 4096, end_id: int = 1)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
-        tok.known = {}  # the worker goes on to other tasks; what this one remembers is its own
         end, size = int(end_id).to_bytes(4, "little"), 4 * limit
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tok.encode(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), size)):
-                    own = ids[at : at + size]
-                    for column, value in zip(out, (doc, k, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=_PIECE.names)
-        tok.known = {}
+            ids_of, texts = batch.column(0).to_pylist(), batch.column(1)
+            lo = 0
+            while lo < len(ids_of):
+                own, hi, length = [], lo, 0
+                while hi < len(ids_of) and length < TOGETHER:
+                    own.append(texts[hi].as_py() or "")
+                    length += len(own[-1])
+                    hi += 1
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for doc, ids in zip(ids_of[lo:hi], tok.encode_all(own), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), size)):
+                        piece = ids[at : at + size]
+                        for column, value in zip(out, (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=_PIECE.names)
+                lo = hi
 
     return docs.select("doc_id", "text").mapInArrow(cut_up, _PIECE)
 
@@ -203,7 +219,7 @@ def packed(cut_pieces: DataFrame, limit: int = 4096, slack: int = 8, fan_in: int
     the same doc_id and piece are items of their own.
     """
     spark = cut_pieces.sparkSession
-    rows = cut(cut_pieces)
+    rows = cut(compact(cut_pieces))
     parts = max(1, rows.count() // each)
     one = rows.select(F.lit("").alias("bin"), F.col("length").alias("used"), F.lit(0).alias("level"), F.array(F.struct(*_PIECE.names, F.lit(0).cast("long").alias("offset"))).alias("items"))
     key = F.xxhash64(F.element_at("items", 1))

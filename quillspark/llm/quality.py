@@ -106,6 +106,7 @@ def vectors(docs: DataFrame) -> DataFrame:
     kernel.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.release()
         for batch in batches:
             parts = [statistics(data, offsets) for _, _, data, offsets in kernel.blocks(batch.column(1))]
             flat = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
@@ -229,10 +230,11 @@ def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, name: str =
     All labels teach. Texts are read once for the labelled vectors and once for the decision, and never shuffled.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    model = fit(stored(vectors(docs), f"{name}-vectors").join(known, "doc_id"))
+    model = fit(stored(vectors(docs).join(known, "doc_id").select("doc_id", "x", "label"), f"{name}-vectors"))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel.release()
         for batch in batches:
             parts = [model.score(statistics(data, offsets)) for _, _, data, offsets in kernel.blocks(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(parts) >= least)) if parts else batch

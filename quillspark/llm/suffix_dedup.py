@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import idblocks, kernel
 from quillspark.llm.kernel import U, mix
-from quillspark.session import shares
+from quillspark.session import dealt, shares
 
 SEED = 36
 #: Groups of contexts for each block: a suffix array takes some eighty bytes for each of its own.
@@ -364,11 +364,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     kernel.small_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = shares(docs, each)
-    block = idblocks.block_of(F.col("doc_id"), idblocks.bounds(named, n))
-    laid = named.withColumn("block", block).repartition(n, "block")
-    counted = laid.groupBy("block").applyInArrow(_count(length, n), _schema(_COUNTED))
-    notes = counted.groupBy("bucket").applyInArrow(_settle, _schema(_NOTES))
-    raw = laid.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_contexts(length, FINER * n), _schema(_RAW))
-    spans = raw.groupBy("bucket").applyInArrow(_repeats(length), _schema(_NOTES))
+    block = idblocks.blocks(named, n).of(F.col("doc_id"))
+    laid = dealt(named.withColumn("block", block), n, "block")
+    counted = laid.groupBy("block").applyInArrow(kernel.lean(_count(length, n)), _schema(_COUNTED))
+    notes = counted.groupBy("bucket").applyInArrow(kernel.lean(_settle), _schema(_NOTES))
+    raw = laid.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(kernel.lean(_contexts(length, FINER * n)), _schema(_RAW))
+    spans = raw.groupBy("bucket").applyInArrow(kernel.lean(_repeats(length)), _schema(_NOTES))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return laid.groupBy("block").cogroup(notes.unionByName(spans).groupBy("block")).applyInArrow(_cut_out(length, keep_text), schema)
+    return laid.groupBy("block").cogroup(notes.unionByName(spans).groupBy("block")).applyInArrow(kernel.lean(_cut_out(length, keep_text)), schema)

@@ -24,6 +24,8 @@ from quillspark.session import shared_dir, stored
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string"
 #: Unselected bytes between two records that are read along rather than skipped.
 GAP = 64 << 10
+#: Bytes of an archive that one task reads.
+SLICE = 8 << 20
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -152,7 +154,9 @@ def read(index: DataFrame, gap: int = GAP) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "body_ok"])
 
     chosen = index.select("page_id", "archive", "offset", "length")
-    ranged = chosen.withColumn("slice", F.floor(F.col("offset") / (64 << 20)))
-    return ranged.repartition("archive", "slice").sortWithinPartitions("archive", "offset").drop("slice").mapInArrow(
+    ranged = chosen.withColumn("slice", F.floor(F.col("offset") / SLICE))
+    # rows of the index are small, what they stand for is not: tasks follow the bytes to read
+    parts = max(1, -(-int(chosen.agg(F.sum("length").alias("n")).first().n or 0) // SLICE))
+    return ranged.repartition(parts, "archive", "slice").sortWithinPartitions("archive", "offset").drop("slice").mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, body_ok boolean"
     )
