@@ -259,9 +259,11 @@ def _tree(data: np.ndarray, bounds: np.ndarray, owner: np.ndarray, room: np.ndar
     common = np.minimum(common, np.minimum(room[start[1:]], room[start[:-1]]))
     inner = start > bounds[owner[start]]
     before = np.where(inner, data[np.maximum(start - 1, 0)].astype(np.int64), -1)
+    # runs of one byte before: an interval within a run has no other
+    run = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])]).tolist()
+    known = inner.tolist()
     for lo, hi, depth in intervals(common, length):
-        left = before[lo : hi + 1]
-        if left[0] >= 0 and (left == left[0]).all():
+        if known[lo] and run[lo] == run[hi]:
             continue  # the repeat goes on to the left
         yield start[lo : hi + 1], depth
 
