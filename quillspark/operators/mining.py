@@ -17,29 +17,30 @@ def frequent_itemsets(baskets: DataFrame, basket: str, item: str, support: int,
     """``items`` (sorted array), ``support`` for every set in at least ``support`` baskets.
 
     Level k joins level k-1 with itself on all but the last item, drops candidates with
-    an infrequent subset, and counts the rest by joining them to the baskets an item at a time: a basket
-    enters level k only through the frequent sets of level k-1 that it holds.
+    an infrequent subset, and counts the rest in the baskets: the frequent sets of level k-1 that a
+    basket holds are extended by its larger items and kept where they are candidates.
     """
     rows = baskets.select(F.col(basket).alias("b"), F.col(item).cast("string").alias("i")).where("b IS NOT NULL AND i IS NOT NULL").distinct()
     single = rows.groupBy("i").agg(F.count("*").alias("support")).where(F.col("support") >= support)
     level = cut(single.select(F.array("i").alias("items"), "support"))
-    held = rows.join(single.select("i"), "i", "left_semi").select("b", F.array("i").alias("items"))
+    singles = cut(rows.join(single.select("i"), "i", "left_semi").select("b", "i"))
+    held = singles.select("b", F.array("i").alias("items"))
     out, k = level, 1
     while k < largest and level.count() > k:
         k += 1
         left = level.select("items", F.slice("items", 1, k - 2).alias("head"), F.element_at("items", -1).alias("x"))
         right = level.select(F.slice("items", 1, k - 2).alias("head"), F.element_at("items", -1).alias("y"))
-        pairs = left.join(right, "head").where("x < y").select(F.concat("items", F.array("y")).alias("items"), F.col("items").alias("a"), F.concat("head", F.array("y")).alias("c"))
+        pairs = left.join(right, "head").where("x < y").select(F.concat("items", F.array("y")).alias("items"))
         if k > 2:
             subsets = pairs.select("items", F.explode(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.filter("items", lambda x, p: p != j - 1))).alias("s"))
             whole = subsets.join(level.select(F.col("items").alias("s")), "s").groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") == k).select("items")
             pairs = pairs.join(whole, "items", "left_semi")
         pairs = cut(pairs)
-        first = held.join(pairs.select("items", F.col("a").alias("own"), "c"), held["items"] == F.col("own")).select("b", pairs["items"].alias("cand"), "c")
-        second = held.select(F.col("b").alias("b2"), F.col("items").alias("c2"))
-        found = first.join(second, (F.col("b") == F.col("b2")) & (F.col("c") == F.col("c2"))).select("b", F.col("cand").alias("items"))
+        longer = held.join(singles, "b").where(F.col("i") > F.element_at("items", -1)).select("b", F.concat("items", F.array("i")).alias("items"))
+        found = longer.join(pairs.select("items"), "items", "left_semi")
         level = cut(found.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support))
-        held = cut(found.join(level.select("items"), "items", "left_semi").select("b", "items"))
+        if k < largest:
+            held = cut(found.join(level.select("items"), "items", "left_semi").select("b", "items"))
         out = out.unionByName(level)
     return out
 
