@@ -3,12 +3,14 @@
 A seed looks at some of the words of a window and ignores the others, always the
 same ones. Hashes of the benchmark's windows are joined with those of the
 training texts; around every hit the two word sequences are laid on one
-diagonal and the longest stretch with few substitutions is measured.
+diagonal and the stretch of most equal words with few substitutions is measured.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from quillspark.llm.kernel import U
 
 # The seeds; # is looked at, - is ignored.
 MASKS = ("########", "##-##-####", "###-##-#-##", "##--###-#-##")
+#: Equal words of a match at least; an item of fewer words would be met by chance.
+FEWEST = 5
 #: Benchmark window hashes that may be sent to every task; more are joined by shuffle.
 SENT = 4_000_000
 RESULT = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long, n_item long"
@@ -46,30 +50,48 @@ def seeds(hashes: np.ndarray, first: np.ndarray, mask: str, number: int) -> tupl
     return kernel.mix(rolled[at]), at
 
 
-def overlap(a: np.ndarray, b: np.ndarray, i: int, j: int, cost: int = 4) -> tuple[int, int, int, int]:
-    """The best stretch through the words ``a[i]`` and ``b[j]``: start in a, start in b, words, equal words.
+def overlap(a: np.ndarray, b: np.ndarray, i: int, j: int, least: int = 13, share: float = 0.8) -> tuple[int, int, int, int]:
+    """The stretch of most equal words on the diagonal of ``a[i]`` and item word ``b[j]``: start in a, start in b, words, equal words.
 
-    An equal word counts 1, a substitution ``-cost``; the stretch is the one of highest
-    sum on the diagonal, so isolated substitutions are bridged and runs of them are not.
+    It has ``least`` words (or the whole item, where that is shorter), ``share`` of them equal;
+    unequal words at its ends are taken in only to reach that length. No words if there is none.
     """
-    back = min(i, j)
+    back, need = min(i, j), min(least, len(b))
     length = back + min(len(a) - i, len(b) - j)
     same = a[i - back : i - back + length] == b[j - back : j - back + length]
-    gain = np.where(same, 1, -cost)
-    sums = np.concatenate([[0], np.cumsum(gain)])
-    end = back + 1 + int(np.argmax(sums[back + 1 :]))
-    start = int(back - np.argmax(sums[back::-1]))
-    return i - back + start, j - back + start, end - start, int(same[start:end].sum())
+    sums = np.concatenate([[0], np.cumsum(same)])
+    part = Fraction(str(share))
+    # a stretch has the share if this is no smaller at its end than at its start; the first such start is the longest stretch
+    over = part.denominator * sums - part.numerator * np.arange(length + 1)
+    starts = np.searchsorted(-np.minimum.accumulate(over), -over, "left")
+    equal = np.where(np.arange(length + 1) - starts >= need, sums - sums[starts], -1)
+    end = int(np.argmax(equal))
+    if equal[end] < 1:
+        return i, j, 0, 0
+    start = int(starts[end])
+    while end - start > need and not same[end - 1]:
+        end -= 1
+    while end - start > need and not same[start]:
+        start += 1
+    return i - back + start, j - back + start, end - start, int(equal.max())
+
+
+def _pieces(words: int, least: int, share: float) -> tuple[int, int]:
+    """Width and number of the pieces of an item below ``least`` words: one more than it may have unequal words, so that one piece is whole; none for others."""
+    if not 0 < words < least:
+        return 0, 0
+    number = words - ceil(Fraction(str(share)) * words) + 1
+    return min(max(1, words // number), len(MASKS[0])), number
 
 
 class Benchmark:
-    """Items as word hashes, and their seeds in sorted arrays."""
+    """Items as word hashes, and their seeds in sorted arrays; items below ``least`` words have pieces besides, which miss nothing."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], least: int = 13, share: float = 0.8) -> None:
         texts = pa.array([t or "" for _, t in items], pa.large_string())
         self.ids = [i for i, _ in items]
         self.words: list[np.ndarray] = []
-        keys, owners, places = [], [], []
+        keys, owners, places, widths = [], [], [], set()
         for row, _, data, offsets in kernel.blocks(texts):
             hashes, first = hashed(data, offsets)
             self.words += [hashes[first[k] : first[k + 1]] for k in range(len(first) - 1)]
@@ -79,6 +101,17 @@ class Benchmark:
                 keys.append(h)
                 owners.append(row + own)
                 places.append(at - first[own])
+            cut = np.array([_pieces(n, least, share) for n in np.diff(first).tolist()], np.int64).reshape(-1, 2)
+            for width in set(cut[:, 0].tolist()) - {0}:
+                widths.add(width)
+                h, at = seeds(hashes, first, "#" * width, len(MASKS) + width)
+                own = np.searchsorted(first, at, "right") - 1
+                place = at - first[own]
+                piece = (cut[own, 0] == width) & (place % width == 0) & (place // width < cut[own, 1])
+                keys.append(h[piece])
+                owners.append(row + own[piece])
+                places.append(place[piece])
+        self.masks = [*zip(MASKS, range(len(MASKS))), *(("#" * w, len(MASKS) + w) for w in sorted(widths))]
         self.keys = np.concatenate(keys) if keys else np.zeros(0, U)
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
@@ -89,14 +122,10 @@ class Benchmark:
         self.near[(self.keys >> U(44)).astype(np.int64)] = True
 
 
-def _accept(n: int, equal: int, item: int, least: int, share: float) -> bool:
-    return n >= min(least, item) and equal >= share * n and (n >= least or equal >= 5)
-
-
 def _matches(own: Benchmark, data: np.ndarray, offsets: np.ndarray, least: int, share: float):
     hashes, first = hashed(data, offsets)
     hits = []
-    for m, mask in enumerate(MASKS):
+    for mask, m in own.masks:
         h, at = seeds(hashes, first, mask, m)
         maybe = np.flatnonzero(own.near[(h >> U(44)).astype(np.int64)])
         lo = np.searchsorted(own.keys, h[maybe], "left")
@@ -114,10 +143,9 @@ def _matches(own: Benchmark, data: np.ndarray, offsets: np.ndarray, least: int,
             diagonal = (doc, item, i - j)
             if diagonal in seen:
                 continue
-            start, start_b, n, equal = overlap(words, own.words[item], i, j)
-            if start <= i < start + n:
-                seen.add(diagonal)
-            if _accept(n, equal, len(own.words[item]), least, share) and (equal, -start) > best.get((doc, item), (0, 0))[:2]:
+            seen.add(diagonal)
+            start, start_b, n, equal = overlap(words, own.words[item], i, j, least, share)
+            if equal >= FEWEST and (equal, -start) > best.get((doc, item), (0, 0))[:2]:
                 best[doc, item] = (equal, -start, start_b, n)
     return [(doc, item, -s, sb, n, e) for (doc, item), (e, s, sb, n) in sorted(best.items())]
 
@@ -126,20 +154,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
     """One row per text and benchmark item that share a stretch: where it starts in both, its words, how many are equal.
 
     A stretch counts when it has ``least`` words (or the whole item, where that
-    is shorter) of which ``share`` are equal. Words are runs of letters and digits
+    is shorter) of which ``share`` are equal, five at least. Words are runs of letters and digits
     with A-Z lower-cased; null and empty texts share nothing. Every distinct
     item is compared; equal rows give equal results. The benchmark goes to every
     task only if its words are at most ``sent`` divided by the masks; larger ones are split by
     item over several passes of that size, each against all texts.
     """
     found = None
-    for shared in _parts(docs, benchmark, sent):
+    for shared in _parts(docs, benchmark, least, share, sent):
         one = _pass(docs, shared, least, share)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _parts(docs: DataFrame, benchmark: DataFrame, sent: int) -> list:
+def _parts(docs: DataFrame, benchmark: DataFrame, least: int, share: float, sent: int) -> list:
     """The benchmark as broadcasts of at most about ``sent`` seeds each."""
     spark = docs.sparkSession
     kernel.small_batches(spark)
@@ -149,7 +177,7 @@ def _parts(docs: DataFrame, benchmark: DataFrame, sent: int) -> list:
     out = []
     for k in range(passes):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        out.append(spark.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in part.collect()])))
+        out.append(spark.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in part.collect()], least, share)))
     return out
 
 
@@ -170,7 +198,7 @@ def _pass(docs: DataFrame, shared, least: int, share: float) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, sent: int = SENT) -> DataFrame:
     """The rows of ``docs`` that share no stretch with the benchmark, all columns as they were; one pass, no shuffle."""
-    for shared in _parts(docs, benchmark, sent):
+    for shared in _parts(docs, benchmark, least, share, sent):
         docs = _without(docs, shared, least, share)
     return docs
 

@@ -1,0 +1,50 @@
+"""What earlier versions left out: every case here was lost or cut before."""
+
+import numpy as np
+
+from quillspark.llm import decontamination
+
+
+def counts(same, least, share):
+    """The most equal words of any stretch that counts; 0 if none does."""
+    n, best = len(same), 0
+    for s in range(n):
+        for e in range(s + least, n + 1):
+            equal = int(same[s:e].sum())
+            if 100 * equal >= round(100 * share) * (e - s):
+                best = max(best, equal)
+    return best
+
+
+def test_op2_overlap_is_the_best_on_its_diagonal():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        n = int(rng.integers(5, 45))
+        item = np.arange(n)
+        text = np.where(rng.random(n) < rng.choice([0.6, 0.8, 0.9]), item, -1)
+        at = int(rng.integers(0, n))
+        start, start_b, words, equal = decontamination.overlap(text, item, at, at)
+        assert equal == counts(text == item, min(13, n), 0.8)
+        assert start == start_b and (equal == 0 or (words >= min(13, n) and equal == (text == item)[start : start + words].sum() >= 0.8 * words))
+
+
+def test_op2_passages_from_the_middle_and_short_items(spark):
+    item = [f"w{k}" for k in range(60)]
+    short = [[f"s{n}x{k}" for k in range(n)] for n in range(5, 13)]
+    fill = [f"f{k}" for k in range(40)]
+    fifth = [w if k % 5 < 4 else f"z{k}" for k, w in enumerate(item[20:40])]
+    texts = {0: fill[:15] + item[15:30] + fill[15:], 1: item[30:], 2: fill + fifth + fill, 3: fill + item[20:28] + fill}
+    want = {(0, 100, 15), (1, 100, 30), (2, 100, 16)}
+    rng = np.random.default_rng(3)
+    for k in range(200):
+        n = k % len(short)
+        own = [w if rng.random() < 0.8 else f"y{j}" for j, w in enumerate(short[n])]
+        texts[10 + k] = fill[:20] + own + fill[20:]
+        equal = sum(a == b for a, b in zip(own, short[n]))
+        if equal >= 5 and 10 * equal >= 8 * len(own):
+            want.add((10 + k, n, equal))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(100, " ".join(item)), *((n, " ".join(w)) for n, w in enumerate(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_equal) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == want
+    assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == set(texts) - {i for i, _, _ in want}
