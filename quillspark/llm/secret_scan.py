@@ -1,6 +1,7 @@
 """Secrets by a random forest over candidate strings, in built-in functions alone.
 
-Every long word with letters and digits is a candidate. Its length, character
+Every long run of letters and digits in a word is a candidate, and shorter runs or runs of letters alone where a
+credential's name stands before them. Its length, character
 transitions, dictionary coverage, path and neighbouring words go through a forest trained
 on labelled findings, which sorts out hashes, identifiers and placeholders. The
 forest becomes an SQL expression, so scanning is one pass over the texts without a shuffle.
@@ -14,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST = 16
-_CORE = "[0-9A-Za-z+/_-]{%d,}=*" % LEAST
-#: A text without such a run has no candidate.
+_SET = "0-9A-Za-z+/_-"
+#: A run with its padding, and what stands before it in its word; a = that goes on is an assignment.
+_CORE = f"[{_SET}]+(?:=+(?![={_SET}]))?"
+#: A text without such a run has no candidate but beside credentials.
 _RUN = r"(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[0-9A-Za-z+/_-]{%d,}" % LEAST
 
 # Words that stand beside secrets, beside other long strings, and in paths of tests and examples.
 BESIDE = "password|passwd|pwd|secret|token|api[_-]?key|apikey|auth|bearer|credential|access[_-]?key|private|login"
+NAMED = r"(password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)[0-9]*([_-][0-9a-z_-]*)?[\"\'\])]*\s*(=|:|=>|:=|->)\s*[\"\']*$|bearer\s+$"
 ELSEWHERE = "commit|checksum|digest|md5|sha1|sha256|sha-256|hash|uuid|guid|etag|revision|version|build|order|invoice|file|image|blob|integrity"
 PLACEHOLDER = "example|sample|dummy|changeme|your|placeholder|xxxx|test|fake|lorem|insert"
 PATHS = "test|example|sample|fixture|mock|demo|docs?/"
@@ -43,12 +47,21 @@ def _let(value: str, name: str, body: str) -> str:
 
 def candidate_sql(text: str, path: str) -> str:
     """Every candidate of ``text``: its place among the words, itself, and what stands around it."""
-    word = f"w[i] rlike '{_RUN}'"
-    near = "concat_ws(' ', get(w, i - 2), get(w, i - 1), regexp_extract(w[i], '^(.*?)[\\'\"]*{core}', 1))".replace("{core}", _CORE)
-    own = f"struct(i AS place, regexp_extract(w[i], '{_CORE}', 0) AS core, w[i] AS word, lower({near}) AS before, lower(coalesce(get(w, i + 1), '')) AS after, lower(coalesce({path}, '')) AS path)"
-    every = f"transform(filter(sequence(0, size(w) - 1), i -> length(w[i]) >= {LEAST} AND {word}), i -> {own})"
+    sql = lambda x: x.replace("\\", "\\\\").replace("'", "\\'")
+    named, beside = sql(NAMED), f"(?i){BESIDE}"
+    near = f"named AND concat_ws(' ', get(w, i - 2), get(w, i - 1), w[i]) rlike '{beside}'"
+    # the word's runs, each with what stands before it; a comma, semicolon or & ends what belongs to an earlier run
+    runs = f"regexp_extract_all(w[i], '[^{_SET}]*{_CORE}', 0)"
+    prefix = f"concat(array_join(slice(m, 1, k), ''), regexp_extract(m[k], '^[^{_SET}]*', 0))"
+    last = "regexp_extract(p, '[^,;&]*$', 0)"
+    before = f"lower(concat_ws(' ', IF(p rlike '[,;&]', null, get(w, i - 2)), IF(p rlike '[,;&]', null, get(w, i - 1)), regexp_replace({last}, '[\\'\"]+$', '')))"
+    own = f"struct(i AS place, regexp_extract(m[k], '{_CORE}', 0) AS core, w[i] AS word, {_let(prefix, 'p', before)} AS before, lower(coalesce(get(w, i + 1), '')) AS after, lower(coalesce({path}, '')) AS path)"
+    kept = f"c -> (length(c.core) >= {LEAST} AND c.core rlike '{_RUN}') OR (named AND (c.before rlike '{named}' OR (length(c.core) >= {LEAST} AND c.before rlike '{BESIDE}')))"
+    each = _let(runs, "m", f"filter(transform(sequence(0, size(m) - 1), k -> {own}), {kept})")
     words = f"split({text}, '[ \\\\t\\\\n\\\\r\\\\f]+')"
-    return f"CASE WHEN {text} rlike '{_RUN}' THEN {_let(words, 'w', every)} ELSE array() END"
+    found = f"filter(sequence(0, size(w) - 1), i -> w[i] rlike '[{_SET}]' AND ((length(w[i]) >= {LEAST} AND w[i] rlike '{_RUN}') OR ({near})))"
+    every = _let(words, "w", f"flatten(transform({found}, i -> {each}))")
+    return f"CASE WHEN {text} rlike '{_RUN}' OR {text} rlike '{beside}' THEN {_let(f"{text} rlike '{beside}'", 'named', every)} ELSE array() END"
 
 
 def feature_sql(c: str) -> dict[str, str]:
@@ -87,6 +100,9 @@ def labelled_findings(spark: SparkSession, n: int = 4200) -> DataFrame:
     named = lambda name, word, label: (f"concat({a}, ' {name}', {word})", label)
     upper = lambda k, n: f"upper({base36(k, n)})"
     camel = "concat(element_at(array('getUser', 'setOrder', 'listItem', 'readFile', 'openPage', 'createEvent', 'updateIndex'), cast(pmod(id, 7) AS INT) + 1), element_at(array('Name', 'Value', 'Handler', 'Message', 'Config'), cast(pmod(id, 5) AS INT) + 1), element_at(array('List', 'Factory', 'Service', 'Window'), cast(pmod(id, 4) AS INT) + 1), cast(pmod(id, 97) AS STRING))"
+    letters = lambda k, n: f"translate({base64(k, n)}, '0123456789', 'QwErTyUiOp')"
+    value = "element_at(array('required', 'string', 'None', 'true', 'optional', 'changeme', 'bearer', 'the', 'missing', 'invalid', 'hidden', 'yes'), cast(pmod(xxhash64(id, 'v'), 12) AS INT) + 1)"
+    long = "element_at(array('internationalization', 'authenticationservice', 'refreshTokenHandler', 'your_secret_goes_here', 'configuration-manager'), cast(pmod(xxhash64(id, 'w'), 5) AS INT) + 1)"
     uuid = f"regexp_replace(substring({hexes('u')}, 1, 32), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '$1-$2-$3-$4-$5')"
     kinds = [
         plain(f"concat('AKIA', {upper('a', 16)})", 1),
@@ -106,6 +122,17 @@ def labelled_findings(spark: SparkSession, n: int = 4200) -> DataFrame:
         plain(f"substring({hexes('j')}, 1, 32)", 0),
         named("order ", upper("k", 18), 0),
         plain("concat('window-manager-service-', cast(pmod(id, 1000) AS STRING), '-option')", 0),
+        named("password=", f"substring({hexes('m')}, 1, 8 + cast(pmod(xxhash64(id, 'n'), 8) AS INT))", 1),
+        named("password: ", f"substring({base64('o', 16)}, 1, 8 + cast(pmod(xxhash64(id, 'p'), 8) AS INT))", 1),
+        named("AWS_SECRET_ACCESS_KEY=", base64("q", 40), 1),
+        named("secret_key=", letters("r", 32), 1),
+        named("password=", letters("s", 12), 1),
+        named("password: ", value, 0),
+        named("token=", value, 0),
+        named("secret = ", a, 0),
+        named("token_count: ", "cast(pmod(id * 7, 5000) AS STRING)", 0),
+        named("token ", long, 0),
+        named("secret: ", long, 0),
         named("etag: ", f"substring({hexes('l')}, 1, 32)", 0),
     ]
     pick = lambda at: "CASE pmod(id, {n}) {rows} END".format(n=len(kinds), rows=" ".join(f"WHEN {k} THEN {row[at]}" for k, row in enumerate(kinds)))
@@ -153,9 +180,13 @@ def findings(docs: DataFrame, model: RandomForestClassificationModel, threshold:
 
 
 def redacted(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, path: str | None = "source", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark`` and ``n_chars`` counted anew; other texts stay as they were."""
+    """``docs`` with every secret in ``text`` replaced by ``mark`` and ``n_chars`` counted anew; other texts stay as they were.
+
+    Secrets below ``LEAST`` characters are replaced where they stand alone, not inside other words.
+    """
     rows = with_findings(docs, model, path, "_found").withColumn("_secrets", F.expr(f"transform(filter(_found, x -> x.score >= {threshold}D), x -> x.secret)"))
-    clean = rows.withColumn("text", F.expr(f"CASE WHEN size(_secrets) = 0 THEN text ELSE aggregate(_secrets, text, (t, s) -> replace(t, s, '{mark}')) END"))
+    alone = f"regexp_replace(t, concat('(?<![{_SET}])\\\\Q', s, '\\\\E(?![{_SET}])'), '{mark}')"
+    clean = rows.withColumn("text", F.expr(f"CASE WHEN size(_secrets) = 0 THEN text ELSE aggregate(array_sort(array_distinct(_secrets), (a, b) -> length(b) - length(a)), text, (t, s) -> IF(length(s) < {LEAST}, {alone}, replace(t, s, '{mark}'))) END"))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
