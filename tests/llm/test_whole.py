@@ -4,7 +4,12 @@ import hashlib
 
 import numpy as np
 
+from conftest import DATA
 from quillspark.llm import decontamination, secret_scan
+from quillspark.operators import ml
+from quillspark.plans import models, reviews
+
+SF = str(DATA / "sf0.001")
 
 
 def counts(same, least, share):
@@ -71,3 +76,10 @@ def test_op6_every_run_of_a_word_and_short_or_plain_secrets(spark):
     clean = {r.doc_id: r.text for r in secret_scan.redacted(docs, model, path=None).collect()}
     assert clean[4] == f"login with password=[secret] and a{short}b stays" and clean[6] == texts[6]
     assert clean[2] == '{"aws_access_key_id":"[secret]","aws_secret_access_key":"[secret]"}'
+
+
+def test_grid_search_takes_all_training_rows(spark, monkeypatch):
+    seen, whole = [], ml.grid_search
+    monkeypatch.setattr(reviews.ml, "grid_search", lambda train, *rest: seen.append(train.count()) or whole(train.limit(200), *rest))
+    reviews.QUERIES["grid_search"](spark, SF)
+    assert seen == [models._priced(spark, SF)[0].count()] and seen[0] > 4000
