@@ -13,8 +13,8 @@ PRIME = 233_333
 HASHES, BANDS = 200, 50
 
 
-def frequent_itemsets(baskets: DataFrame, basket: str, item: str, support: int, largest: int = 20) -> DataFrame:
-    """``items`` (sorted array), ``support`` for every set in at least ``support`` baskets.
+def frequent_itemsets(baskets: DataFrame, basket: str, item: str, support: int, largest: int | None = None) -> DataFrame:
+    """``items`` (sorted array), ``support`` for every set in at least ``support`` baskets, of ``largest`` items at most if given.
 
     Level k joins level k-1 with itself on all but the last item, drops candidates with
     an infrequent subset, and counts the rest in the baskets: the frequent sets of level k-1 that a
@@ -26,7 +26,7 @@ def frequent_itemsets(baskets: DataFrame, basket: str, item: str, support: int,
     singles = cut(rows.join(single.select("i"), "i", "left_semi").select("b", "i"))
     held = singles.select("b", F.array("i").alias("items"))
     out, k = level, 1
-    while k < largest and level.count() > k:
+    while (largest is None or k < largest) and level.count() > k:
         k += 1
         left = level.select("items", F.slice("items", 1, k - 2).alias("head"), F.element_at("items", -1).alias("x"))
         right = level.select(F.slice("items", 1, k - 2).alias("head"), F.element_at("items", -1).alias("y"))
@@ -39,7 +39,7 @@ def frequent_itemsets(baskets: DataFrame, basket: str, item: str, support: int,
         longer = held.join(singles, "b").where(F.col("i") > F.element_at("items", -1)).select("b", F.concat("items", F.array("i")).alias("items"))
         found = longer.join(pairs.select("items"), "items", "left_semi")
         level = cut(found.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support))
-        if k < largest:
+        if largest is None or k < largest:
             held = cut(found.join(level.select("items"), "items", "left_semi").select("b", "items"))
         out = out.unionByName(level)
     return out

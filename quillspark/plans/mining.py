@@ -41,7 +41,7 @@ def _sets(where: str, share: float) -> str:
 
 @query("fim_brand", _sets("true", 0.02))
 def fim_brand(spark: SparkSession, folder: str) -> DataFrame:
-    sets = ops.frequent_itemsets(baskets(spark, folder), "l_orderkey", "p_brand", _support(spark, folder, 0.02), largest=3)
+    sets = ops.frequent_itemsets(baskets(spark, folder), "l_orderkey", "p_brand", _support(spark, folder, 0.02))
     return sets.select(F.array_join("items", ",").alias("items"), "support")
 
 
@@ -50,13 +50,13 @@ def fim_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Only baskets of more than four items count."""
     rows = baskets(spark, folder)
     large = rows.groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n > 4").select("l_orderkey")
-    sets = ops.frequent_itemsets(rows.join(large, "l_orderkey", "left_semi"), "l_orderkey", "p_brand", _support(spark, folder, 0.02), largest=3)
+    sets = ops.frequent_itemsets(rows.join(large, "l_orderkey", "left_semi"), "l_orderkey", "p_brand", _support(spark, folder, 0.02))
     return sets.select(F.array_join("items", ",").alias("items"), "support")
 
 
 @query("fim_report")
 def fim_report(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.itemset_report(ops.frequent_itemsets(baskets(spark, folder), "l_orderkey", "p_brand", _support(spark, folder, 0.05), largest=3))
+    return ops.itemset_report(ops.frequent_itemsets(baskets(spark, folder), "l_orderkey", "p_brand", _support(spark, folder, 0.05)))
 
 
 _PAIRS = "p AS (SELECT DISTINCT user_id AS u, CAST(json_extract(props, '$.k') AS INT) AS k FROM events), n AS (SELECT k, count(*) AS n FROM p GROUP BY 1)"
