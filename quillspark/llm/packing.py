@@ -2,8 +2,9 @@
 
 Texts are tokenised where they are read; from then on only lengths move. Each
 partition packs its pieces best-fit by decreasing length and emits the bins that
-are nearly full; the bins that are not become items of the next round on an
-eighth of the partitions, until one partition repacks what is left.
+are nearly full or that nothing left can complete. Best-fit leaves one bin up to half full at the
+most; it and the roomiest others become items of the next round on an eighth of
+the partitions, until one partition repacks the last few.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ TOGETHER = 10_000
 #: Marks that end a chunk after a letter, and one that separates chunks.
 _TAIL = ".,!?%*&$#|;:)"
 _MARK = "\x01"
+#: How the vocabulary's special tokens begin.
+_SPECIAL = "<|"
 _PIECE = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -40,7 +43,7 @@ _PIECE = T.StructType(
     ]
 )
 _ITEM = T.StructType([*_PIECE.fields, T.StructField("offset", T.LongType())])
-_BIN = T.StructType([T.StructField("bin", T.StringType()), T.StructField("used", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("items", T.ArrayType(_ITEM))])
+_BIN = T.StructType([T.StructField("bin", T.LongType()), T.StructField("used", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("items", T.ArrayType(_ITEM))])
 
 
 class ChunkTokenizer:
@@ -48,7 +51,8 @@ class ChunkTokenizer:
 
     The vocabulary drops white space and never joins across it, so a text's ids
     are those of its chunks in order. Chunks are split at ASCII blanks only, and
-    a chunk that ends in punctuation after a letter is looked up in two parts.
+    a chunk that ends in punctuation after an ASCII letter is looked up in two parts. The
+    vocabulary looks for its special tokens before it lower-cases, so a chunk that may hold one stays as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -81,9 +85,9 @@ class ChunkTokenizer:
             known.update((c, before[c]) for c in missing if c in before)
             missing = missing.difference(known)
         chunks = list(missing)
-        lows = [c if "Σ" in c or "İ" in c else c.lower() for c in chunks]
-        cores = [x.rstrip(_TAIL) for x in lows]
-        cores = [k if k and k[-1].isalpha() else x for k, x in zip(cores, lows, strict=True)]
+        lows = [c if "Σ" in c or "İ" in c or _SPECIAL in c else c.lower() for c in chunks]
+        cores = [x if _SPECIAL in x else x.rstrip(_TAIL) for x in lows]
+        cores = [k if "a" <= k[-1:] <= "z" else x for k, x in zip(cores, lows, strict=True)]
         tails = [x[len(k) :] for k, x in zip(cores, lows, strict=True)]
         fresh = set(cores).union(tails).difference(known)
         if before:
@@ -122,7 +126,8 @@ def tokenizer(path: str) -> ChunkTokenizer:
 def pieces(docs: DataFrame, vocabulary: str, limit: int = 4096, end_id: int = 1) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``: each text's ids and ``end_id``, cut at ``limit``.
 
-    A null text counts as empty and gives one piece of ``end_id`` alone.
+    A null text counts as empty and gives one piece of ``end_id`` alone; so does a
+    text of white space. Null doc_ids and repeated rows are kept as they are.
     """
 
     small_batches(docs.sparkSession)
@@ -178,7 +183,20 @@ def best_fit(sizes: list[int], limit: int) -> list[int]:
     return found
 
 
-def _round(level: int, limit: int, slack: int):
+def _open(total: np.ndarray, limit: int, slack: int, spare: int) -> np.ndarray:
+    """Which bins go to the next round: those up to half full, of which best-fit leaves one at most, and the ``spare`` roomiest others.
+
+    No two bins over half full fit together, so more of them than there are small ones can't be completed.
+    """
+    under = np.flatnonzero(total < limit - slack)
+    under = under[np.argsort(total[under], kind="stable")]
+    small = int(np.searchsorted(total[under], limit // 2, "right"))
+    found = np.zeros(len(total), bool)
+    found[under[: small + spare]] = True
+    return found
+
+
+def _round(level: int, limit: int, slack: int, spare: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -202,26 +220,29 @@ def _round(level: int, limit: int, slack: int):
         fields = [flat.field(name) for name in _PIECE.names]
         fields.append(pa.array(flat.field("offset").to_numpy(zero_copy_only=False) + np.repeat(before, counts[order])))
         merged = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names=_ITEM.names))
-        done = (total >= limit - slack).astype(np.int32)
+        again = _open(total, limit, slack, spare)
+        # one number for each bin of all rounds: 6 bits of the round, 26 of the partition, 31 of the bin
+        name = (level << 57) + (part << 31) + np.arange(len(total), dtype=np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([f"{level}.{part}.{k}" for k in range(len(total))]), pa.array(total.astype(np.int64)), pa.array(np.where(done, -1, level).astype(np.int32)), merged],
-            schema=pa.schema([("bin", pa.string()), ("used", pa.int64()), ("level", pa.int32()), ("items", merged.type)]),
+            [pa.array(name), pa.array(total.astype(np.int64)), pa.array(np.where(again, level, -1).astype(np.int32)), merged],
+            schema=pa.schema([("bin", pa.int64()), ("used", pa.int64()), ("level", pa.int32()), ("items", merged.type)]),
         )
 
     return pack
 
 
-def packed(cut_pieces: DataFrame, limit: int = 4096, slack: int = 8, fan_in: int = 8, each: int = 50_000) -> DataFrame:
+def packed(cut_pieces: DataFrame, limit: int = 4096, slack: int = 8, fan_in: int = 8, each: int = 50_000, spare: int = 64) -> DataFrame:
     """``cut_pieces`` with ``sequence_id`` and ``offset``; every piece is in one sequence, gapless from 0.
 
     ``slack`` is how far from full an emitted bin may be before the last round,
-    ``each`` how many pieces a partition of the first round takes. Rows with
-    the same doc_id and piece are items of their own.
+    ``each`` how many pieces a partition of the first round takes, ``spare`` how many bins over half full
+    a partition hands on to be completed elsewhere; later partitions hold ``fan_in * (spare + 1)``
+    items, whatever the lengths. Rows with the same doc_id and piece, and rows with a null doc_id, are
+    items of their own; no pieces give no rows. Sequences are numbered by round, partition and bin, so no number is used twice.
     """
-    spark = cut_pieces.sparkSession
     rows = cut(compact(cut_pieces))
     parts = max(1, rows.count() // each)
-    one = rows.select(F.lit("").alias("bin"), F.col("length").alias("used"), F.lit(0).alias("level"), F.array(F.struct(*_PIECE.names, F.lit(0).cast("long").alias("offset"))).alias("items"))
+    one = rows.select(F.lit(0).cast("long").alias("bin"), F.col("length").alias("used"), F.lit(0).alias("level"), F.array(F.struct(*_PIECE.names, F.lit(0).cast("long").alias("offset"))).alias("items"))
     key = F.xxhash64(F.element_at("items", 1))
     level, finished = 0, []
     while True:
@@ -229,7 +250,7 @@ def packed(cut_pieces: DataFrame, limit: int = 4096, slack: int = 8, fan_in: int
         spread = one.repartition(parts, key) if parts > 1 else one.coalesce(1)
         ordered = spread.sortWithinPartitions(F.desc("used"), F.element_at("items", 1))
         last = parts == 1
-        bins = cut(ordered.mapInArrow(_round(level, limit, slack), _BIN))
+        bins = cut(ordered.mapInArrow(_round(level, limit, slack, spare), _BIN))
         finished.append(bins if last else bins.where("level = -1"))
         if last:
             break
@@ -238,4 +259,4 @@ def packed(cut_pieces: DataFrame, limit: int = 4096, slack: int = 8, fan_in: int
     bins = finished[0]
     for more in finished[1:]:
         bins = bins.unionByName(more)
-    return bins.select(F.xxhash64("bin").alias("sequence_id"), F.inline("items")).select(*_PIECE.names, "sequence_id", "offset")
+    return bins.select(F.col("bin").alias("sequence_id"), F.inline("items")).select(*_PIECE.names, "sequence_id", "offset")
