@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import kernel
 from quillspark.llm.kernel import U
+from quillspark.session import stored
 
-# The seeds; # is looked at, - is ignored.
-MASKS = ("########", "##-##-####", "###-##-#-##", "##--###-#-##")
+# The seeds; # is looked at, - is ignored. Every stretch of 13 words or more with 80 % of them equal
+# holds one of them whole: a test goes through all patterns of 13 to 25 words, and of a longer stretch's halves one is as equal.
+MASKS = ("####-##", "##-#---#--##", "##-#-#-##", "###-###")
 #: Equal words of a match at least; an item of fewer words would be met by chance.
 FEWEST = 5
-#: Benchmark window hashes that may be sent to every task; more are joined by shuffle.
+#: Benchmark window hashes that may be sent to every task; a larger benchmark is worked off part by part.
 SENT = 4_000_000
+#: Pairs of a hit and an item's place that are looked at together.
+PAIRS = 1 << 20
 RESULT = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long, n_item long"
 
 
@@ -76,12 +80,25 @@ def overlap(a: np.ndarray, b: np.ndarray, i: int, j: int, least: int = 13, share
     return i - back + start, j - back + start, end - start, int(equal.max())
 
 
+def seeds_for(least: int, share: float) -> tuple[str, ...]:
+    """Masks that miss no stretch of ``least`` words or more of which ``share`` are equal.
+
+    ``MASKS`` up to their own bounds; below these one mask as wide as the longest run that
+    every stretch of ``least`` to twice as many words must hold.
+    """
+    part = Fraction(str(share))
+    if least >= 13 and part >= Fraction(4, 5):
+        return MASKS
+    other = ((n, n - ceil(part * n)) for n in range(least, 2 * least))
+    return ("#" * max(1, min(-(-(n - k) // (k + 1)) for n, k in other)),)
+
+
 def _pieces(words: int, least: int, share: float) -> tuple[int, int]:
     """Width and number of the pieces of an item below ``least`` words: one more than it may have unequal words, so that one piece is whole; none for others."""
     if not 0 < words < least:
         return 0, 0
     number = words - ceil(Fraction(str(share)) * words) + 1
-    return min(max(1, words // number), len(MASKS[0])), number
+    return min(max(1, words // number), 8), number
 
 
 class Benchmark:
@@ -92,10 +109,11 @@ class Benchmark:
         self.ids = [i for i, _ in items]
         self.words: list[np.ndarray] = []
         keys, owners, places, widths = [], [], [], set()
+        masks = seeds_for(least, share)
         for row, _, data, offsets in kernel.blocks(texts):
             hashes, first = hashed(data, offsets)
             self.words += [hashes[first[k] : first[k + 1]] for k in range(len(first) - 1)]
-            for m, mask in enumerate(MASKS):
+            for m, mask in enumerate(masks):
                 h, at = seeds(hashes, first, mask, m)
                 own = np.searchsorted(first, at, "right") - 1
                 keys.append(h)
@@ -104,14 +122,14 @@ class Benchmark:
             cut = np.array([_pieces(n, least, share) for n in np.diff(first).tolist()], np.int64).reshape(-1, 2)
             for width in set(cut[:, 0].tolist()) - {0}:
                 widths.add(width)
-                h, at = seeds(hashes, first, "#" * width, len(MASKS) + width)
+                h, at = seeds(hashes, first, "#" * width, len(masks) + width)
                 own = np.searchsorted(first, at, "right") - 1
                 place = at - first[own]
                 piece = (cut[own, 0] == width) & (place % width == 0) & (place // width < cut[own, 1])
                 keys.append(h[piece])
                 owners.append(row + own[piece])
                 places.append(place[piece])
-        self.masks = [*zip(MASKS, range(len(MASKS))), *(("#" * w, len(MASKS) + w) for w in sorted(widths))]
+        self.masks = [*zip(masks, range(len(masks))), *(("#" * w, len(masks) + w) for w in sorted(widths))]
         self.keys = np.concatenate(keys) if keys else np.zeros(0, U)
         order = np.argsort(self.keys, kind="stable")
         self.keys = self.keys[order]
@@ -122,31 +140,39 @@ class Benchmark:
         self.near[(self.keys >> U(44)).astype(np.int64)] = True
 
 
-def _matches(own: Benchmark, data: np.ndarray, offsets: np.ndarray, least: int, share: float):
-    hashes, first = hashed(data, offsets)
-    hits = []
+def _diagonals(own: Benchmark, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Text, item, place in the text less place in the item, and one place in the text, for every diagonal that a seed hits."""
+    found = [np.zeros((0, 4), np.int64)]
     for mask, m in own.masks:
         h, at = seeds(hashes, first, mask, m)
         maybe = np.flatnonzero(own.near[(h >> U(44)).astype(np.int64)])
         lo = np.searchsorted(own.keys, h[maybe], "left")
         hi = np.searchsorted(own.keys, h[maybe], "right")
-        for k in np.flatnonzero(hi > lo):
-            hits.append((int(at[maybe[k]]), int(lo[k]), int(hi[k])))
+        hit = np.flatnonzero(hi > lo)
+        at, lo, counts = at[maybe[hit]], lo[hit], (hi - lo)[hit]
+        ends = np.cumsum(counts)
+        k = 0
+        while k < len(at):  # some hits at a time, since one seed may stand in many items
+            last = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + PAIRS, "right")))
+            n = counts[k:last]
+            at_, which = np.repeat(at[k:last], n), np.repeat(lo[k:last] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            doc = np.searchsorted(first, at_, "right") - 1
+            place = at_ - first[doc]
+            rows = np.stack([doc, own.owners[which], place - own.places[which], place], axis=1)
+            found.append(rows[np.unique(rows[:, :3], axis=0, return_index=True)[1]])
+            k = last
+    rows = np.concatenate(found)
+    return rows[np.unique(rows[:, :3], axis=0, return_index=True)[1]] if len(rows) else rows
+
+
+def _matches(own: Benchmark, data: np.ndarray, offsets: np.ndarray, least: int, share: float):
+    hashes, first = hashed(data, offsets)
     best: dict[tuple[int, int], tuple[int, ...]] = {}
-    seen: set[tuple[int, int, int]] = set()
-    for at, lo, hi in hits:
-        doc = int(np.searchsorted(first, at, "right") - 1)
+    for doc, item, diagonal, i in _diagonals(own, hashes, first).tolist():
         words = hashes[first[doc] : first[doc + 1]]
-        for k in range(lo, hi):
-            item, j = int(own.owners[k]), int(own.places[k])
-            i = at - int(first[doc])
-            diagonal = (doc, item, i - j)
-            if diagonal in seen:
-                continue
-            seen.add(diagonal)
-            start, start_b, n, equal = overlap(words, own.words[item], i, j, least, share)
-            if equal >= FEWEST and (equal, -start) > best.get((doc, item), (0, 0))[:2]:
-                best[doc, item] = (equal, -start, start_b, n)
+        start, start_b, n, equal = overlap(words, own.words[item], i, i - diagonal, least, share)
+        if equal >= FEWEST and (equal, -start) > best.get((doc, item), (0, 0))[:2]:
+            best[doc, item] = (equal, -start, start_b, n)
     return [(doc, item, -s, sb, n, e) for (doc, item), (e, s, sb, n) in sorted(best.items())]
 
 
@@ -154,31 +180,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 13, share:
     """One row per text and benchmark item that share a stretch: where it starts in both, its words, how many are equal.
 
     A stretch counts when it has ``least`` words (or the whole item, where that
-    is shorter) of which ``share`` are equal, five at least. Words are runs of letters and digits
+    is shorter) of which ``share`` are equal, five at least. The seeds miss none. Words are runs of letters and digits
     with A-Z lower-cased; null and empty texts share nothing. Every distinct
-    item is compared; equal rows give equal results. The benchmark goes to every
-    task only if its words are at most ``sent`` divided by the masks; larger ones are split by
-    item over several passes of that size, each against all texts.
+    item is compared; equal rows give equal results, of equally long stretches the first. The benchmark goes to every
+    task only if its words are at most ``sent`` divided by the masks; a larger one is split by
+    item over several passes of that size, each against all texts, one part in the driver at a time.
     """
+    items, passes = _measured(benchmark, sent)
     found = None
-    for shared in _parts(docs, benchmark, least, share, sent):
+    for k in range(passes):
+        shared = _part(items, passes, k, least, share)
         one = _pass(docs, shared, least, share)
+        if passes > 1:
+            one = stored(one, "leaks")
+            shared.unpersist()
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _parts(docs: DataFrame, benchmark: DataFrame, least: int, share: float, sent: int) -> list:
-    """The benchmark as broadcasts of at most about ``sent`` seeds each."""
-    spark = docs.sparkSession
-    kernel.small_batches(spark)
+def _measured(benchmark: DataFrame, sent: int) -> tuple[DataFrame, int]:
+    """The distinct items, and how many parts of at most about ``sent`` seeds they make."""
+    kernel.small_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     measured = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    passes = max(1, -(-int(measured) * len(MASKS) // (2 * sent)))
-    out = []
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        out.append(spark.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in part.collect()], least, share)))
-    return out
+    return items, max(1, -(-int(measured) * len(MASKS) // (2 * sent)))
+
+
+def _part(items: DataFrame, passes: int, k: int, least: int, share: float):
+    """The ``k``-th part of the benchmark as a broadcast."""
+    part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
+    return items.sparkSession.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in part.collect()], least, share))
 
 
 def _pass(docs: DataFrame, shared, least: int, share: float) -> DataFrame:
@@ -197,9 +228,17 @@ def _pass(docs: DataFrame, shared, least: int, share: float) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.8, sent: int = SENT) -> DataFrame:
-    """The rows of ``docs`` that share no stretch with the benchmark, all columns as they were; one pass, no shuffle."""
-    for shared in _parts(docs, benchmark, least, share, sent):
+    """The rows of ``docs`` that share no stretch with the benchmark, all columns as they were; no shuffle.
+
+    Null and empty texts stay. A benchmark over ``sent`` takes a pass for each part, the texts left being written between them.
+    """
+    items, passes = _measured(benchmark, sent)
+    for k in range(passes):
+        shared = _part(items, passes, k, least, share)
         docs = _without(docs, shared, least, share)
+        if k < passes - 1:
+            docs = stored(docs, "clean")
+            shared.unpersist()
     return docs
 
 
