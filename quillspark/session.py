@@ -6,7 +6,9 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Catalyst's estimate for frames that no file backs is far beyond any table.
@@ -31,12 +33,14 @@ def session(app: str = "quillspark", cores: int | str = "*", **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    A folder of this machine is used only where the setting is absent and no
-    checkpoint folder was set before, as in tests on a local master.
+    A folder of this machine is used only on a local master where the setting is absent and no
+    checkpoint folder was set before, as in tests; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         present = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not present.isDefined() and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = present.get() if present.isDefined() else f"file://{tempfile.mkdtemp(prefix='quill-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -45,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Partitions of one shuffle at most, and groups that one holds where there are more of them than cores.
 PARTITIONS, GROUPS = 100_000, 16
+#: Groups that get names which spread them evenly.
+LABELLED = 4096
 
 
 def _tasks(spark: SparkSession, wanted: int) -> int:
@@ -52,9 +58,48 @@ def _tasks(spark: SparkSession, wanted: int) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, wanted)
 
 
+def _parts(spark: SparkSession, groups: int) -> int:
+    return min(groups, PARTITIONS, _tasks(spark, -(-groups // GROUPS)))
+
+
 def dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` into partitions of several groups, which are worked off one by one."""
-    return df.repartition(min(groups, PARTITIONS, _tasks(df.sparkSession, -(-groups // GROUPS))), *keys)
+    return df.repartition(_parts(df.sparkSession, groups), *keys)
+
+
+def _hashed(x: np.ndarray) -> np.ndarray:
+    """What Spark's partitioner makes of int keys (32-bit Murmur3 with seed 42)."""
+    U = np.uint32
+    turn = lambda v, r: (v << U(r)) | (v >> U(32 - r))
+    k = turn(x.astype(U) * U(0xCC9E2D51), 15) * U(0x1B873593)
+    h = (turn(U(42) ^ k, 13) * U(5) + U(0xE6546B64)) ^ U(4)
+    h = (h ^ (h >> U(16))) * U(0x85EBCA6B)
+    h = (h ^ (h >> U(13))) * U(0xC2B2AE35)
+    return (h ^ (h >> U(16))).view(np.int32)
+
+
+def even_labels(groups: int, parts: int) -> list[int]:
+    """``groups`` rising numbers whose hashes fall into ``parts`` partitions evenly."""
+    room, found, at, step = np.full(parts, -(-groups // parts)), [], 0, 4 * groups + 64
+    while len(found) < groups:
+        x = np.arange(at, at + step)
+        for number, part in zip(x.tolist(), (_hashed(x) % parts).tolist(), strict=True):
+            if room[part]:
+                room[part] -= 1
+                found.append(number)
+        at += step
+    return found[:groups]
+
+
+def even(number: Column, groups: int, spark: SparkSession) -> Column:
+    """The int ``number`` below ``groups``, renamed in the same order so that ``dealt`` spreads the groups evenly.
+
+    Beyond ``LABELLED`` groups numbers stay; a partition holds many of them then and chance evens them out.
+    """
+    if not 1 < groups <= LABELLED:
+        return number
+    labels = even_labels(groups, _parts(spark, groups))
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), number.cast("int") + 1)
 
 
 def compact(df: DataFrame, each: int = 64 << 20) -> DataFrame:
