@@ -108,9 +108,16 @@ def compact(df: DataFrame, each: int = 64 << 20) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, for small frames inside loops."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint, for small frames inside loops.
+
+    A checkpoint keeps Catalyst's estimate of its size, which every join multiplies, so that after
+    some rounds of a loop the estimate alone fills the driver; here it starts anew.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    held = df.checkpoint(eager=True)._jdf
+    rows = held.queryExecution().logical().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, held.schema(), False), spark)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -18,3 +18,10 @@ def test_groups_are_dealt_evenly_and_in_order(spark):
         labels = own.even_labels(groups, own._parts(spark, groups))
         assert labels == sorted(set(labels))
     assert spark.range(3).select(own.even(F.col("id"), 10**6, spark).alias("x")).agg(F.max("x")).first()[0] == 2
+
+
+def test_rounds_of_a_loop_do_not_blow_up_the_estimate(spark):
+    df = spark.range(20).withColumnRenamed("id", "a")
+    for _ in range(12):
+        df = own.cut(df.join(df.withColumnRenamed("a", "b"), F.col("a") == F.col("b")).join(df.withColumnRenamed("a", "c"), F.col("a") == F.col("c")).select("a"))
+    assert df.count() == 20 and own.input_bytes(df) < 1 << 70
