@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,8 +84,8 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return k.join(inner, k["label"] == inner["a"], "left").join(m).agg((F.sum(2 * F.coalesce("e", F.lit(0)) - F.col("k") * F.col("k") / F.col("m2")) / F.first("m2")).alias("q"))
 
 
-def betweenness(edges: DataFrame, most: int = 50) -> DataFrame:
-    """``src, dst, score`` of every edge: shortest paths over it, from all sources, halved.
+def betweenness(edges: DataFrame) -> DataFrame:
+    """``src, dst, score`` of every edge: shortest paths over it, from all sources, halved. Levels end where nothing new is reached.
 
     All sources search together: a row per source and vertex reached, a join for
     each level. Credit then flows back level by level in proportion to the number of shortest paths.
@@ -90,7 +94,7 @@ def betweenness(edges: DataFrame, most: int = 50) -> DataFrame:
     front = ways.select(F.col("src").alias("s")).distinct().select("s", F.col("s").alias("v"), F.lit(0).alias("d"), F.lit(1.0).alias("paths"))
     reached = levels = cut(front)
     depth = 0
-    while depth < most:
+    while True:
         step = levels.where(F.col("d") == depth).join(ways, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
         fresh = cut(step.join(reached.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(depth + 1).alias("d"), "paths"))
         if fresh.isEmpty():
@@ -113,21 +117,96 @@ def betweenness(edges: DataFrame, most: int = 50) -> DataFrame:
     return shares.groupBy(F.least("c", "p").alias("src"), F.greatest("c", "p").alias("dst")).agg((F.sum("share") / 2).alias("score"))
 
 
-def girvan_newman(edges: DataFrame, most: int = 1000, stale: int = 30) -> tuple[DataFrame, float, int]:
+def _scores(near: np.ndarray) -> np.ndarray:
+    """Betweenness of every edge of an adjacency matrix; a level of the search from all sources is one product."""
+    n = len(near)
+    depth, paths, front, level = np.where(np.eye(n) > 0, 0, -1), np.eye(n), np.eye(n), 0
+    while front.any():
+        level += 1
+        front = np.where(depth < 0, front @ near, 0)
+        depth[front > 0] = level
+        paths += front
+    credit, score = np.ones((n, n)), np.zeros((n, n))
+    for d in range(level, 0, -1):
+        share = np.where(depth == d, credit / np.maximum(paths, 1), 0)
+        up = np.where(depth == d - 1, paths, 0)
+        credit += up * (share @ near)
+        score += near * (up.T @ share)
+    return (score + score.T) / 2
+
+
+def _labels(near: np.ndarray) -> np.ndarray:
+    """The smallest vertex that each one reaches."""
+    n, label = len(near), np.arange(len(near))
+    while True:
+        lower = np.minimum(label, np.where(near > 0, label[None, :], n).min(axis=1, initial=n))
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def _cuts(edges: np.ndarray, most: int, stale: int) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Vertices, their labels in the best division, its modularity and the number of cuts. Only components that lost an edge are searched anew."""
+    names, at = np.unique(edges, return_inverse=True)
+    src, dst = at.reshape(edges.shape).T
+    n = len(names)
+    now = np.zeros((n, n))
+    now[src, dst] = now[dst, src] = 1
+    degree, twice = now.sum(axis=1), now.sum()
+    label, score = _labels(now), np.zeros((n, n))
+    touched = np.unique(label)
+    best, value, idle, cuts = None, float("-inf"), 0, 0
+    while True:
+        inner, total = (label[src] == label[dst]), np.bincount(label, degree, n)
+        q = float(2 * inner.sum() / twice - (total**2).sum() / twice**2)
+        if best is None or q >= value - 1e-12:
+            best, value, idle = label.copy(), max(q, value), 0
+        else:
+            idle += 1
+        if idle >= stale or cuts >= most or not now.any():
+            return names, names[best], value, cuts
+        for x in touched.tolist():
+            own = np.flatnonzero(label == x)
+            score[np.ix_(own, own)] = _scores(now[np.ix_(own, own)])
+        gone = (now > 0) & (score >= score.max() - 1e-9)
+        before = np.unique(label[gone.any(axis=1)])
+        now[gone] = score[gone] = 0
+        cuts += 1
+        changed = np.flatnonzero(np.isin(label, before))
+        label[changed] = changed[_labels(now[np.ix_(changed, changed)])]
+        touched = np.unique(label[changed])
+
+
+def girvan_newman(edges: DataFrame, most: int = 1000, stale: int = 30, small: int = 2000) -> tuple[DataFrame, float, int]:
     """The labels of best modularity, that modularity, and the number of cuts: all edges of greatest betweenness go in each.
 
     Modularity counts the original edges; a later cut of equal value replaces an
-    earlier one. Ends without edges, after ``most`` cuts, or after ``stale`` without gain. One number a cut comes to the driver.
+    earlier one. Ends without edges, after ``most`` cuts, or after ``stale`` without gain. The graph is counted first: up to
+    ``small`` vertices and edges are cut in one task, whose matrices have at most ``small ** 2`` cells; larger
+    ones by joins, where one number a cut comes to the driver.
     """
     whole = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct())
     vertices = cut(both_ways(whole).select(F.col("src").alias("id")).distinct())
+    if 0 < whole.count() <= small and vertices.count() <= small:
+        kind = whole.schema["src"].dataType.simpleString()
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = [f for f in frames if len(f)]
+            if rows:
+                names, labels, q, cuts = _cuts(pd.concat(rows)[["src", "dst"]].to_numpy(), most, stale)
+                yield pd.DataFrame({"id": names, "label": labels, "q": q, "cuts": cuts})
+
+        found = cut(whole.coalesce(1).mapInPandas(run, f"id {kind}, label {kind}, q double, cuts long"))
+        first = found.first()
+        return found.select("id", "label"), first.q, first.cuts
     now, best, value, idle, cuts = whole, None, float("-inf"), 0, 0
     while True:
         joined = connected_components(now)
         labels = cut(vertices.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("label")))
         q = modularity(whole, labels).first().q
-        if best is None or (q is not None and q >= value):
-            best, value, idle = labels, value if q is None else q, 0
+        if best is None or (q is not None and q >= value - 1e-12):
+            best, value, idle = labels, value if q is None else max(q, value), 0
         else:
             idle += 1
         if idle >= stale or cuts >= most or now.isEmpty():
