@@ -21,10 +21,15 @@ def kmeans(points: DataFrame, key: str, vector: str, k: int, seed: int = 42, rou
 
 
 def elbow(points: DataFrame, key: str, vector: str, ks: Sequence[int], seed: int = 42) -> DataFrame:
-    """``k, cost`` for every k."""
+    """``k, cost`` for every k; one cluster costs the squared distances to the mean."""
     spark = points.sparkSession
     rows = cut(points.select(key, vector))
-    return spark.createDataFrame([(k, kmeans(rows, key, vector, k, seed)[1]) for k in ks], "k int, cost double")
+    return spark.createDataFrame([(k, kmeans(rows, key, vector, k, seed)[1] if k > 1 else _spread(rows, vector)) for k in ks], "k int, cost double")
+
+
+def _spread(points: DataFrame, vector: str) -> float:
+    parts = points.select(F.posexplode(F.col(vector).cast("array<double>")).alias("at", "x")).groupBy("at").agg((F.var_pop("x") * F.count("x")).alias("s"))
+    return float(parts.agg(F.sum("s").alias("s")).first().s or 0.0)
 
 
 def centroids(points: DataFrame, cluster: str, vector: str) -> DataFrame:
@@ -71,6 +76,7 @@ def chunked_clusters(points: DataFrame, key: str, vector: str, n_clusters: int,
     the discard set nearest to their centre. Statistics are frozen within a chunk; labels of sets are never reused.
     """
     spark = points.sparkSession
+    # 13,333 and 2,333,333 deal the points into chunks.
     rows = cut(points.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.pmod(13_333 * F.col(key).cast("long") + 3, F.lit(2_333_333)), F.lit(chunks)).alias("chunk")))
     first = rows.select(F.size("v").alias("d")).first()
     if first is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +15,18 @@ PRIME = 233_333
 HASHES, BANDS = 200, 50
 
 
-def frequent_itemsets(baskets: DataFrame, basket: str, item: str, support: int, largest: int | None = None) -> DataFrame:
+def frequent_itemsets(baskets: DataFrame, basket: str, item: str, support: int, largest: int | None = None, seen: list[DataFrame] | None = None) -> DataFrame:
     """``items`` (sorted array), ``support`` for every set in at least ``support`` baskets, of ``largest`` items at most if given.
 
+    ``seen`` gets the candidates of every level.
+
     Level k joins level k-1 with itself on all but the last item, drops candidates with
     an infrequent subset, and counts the rest in the baskets: the frequent sets of level k-1 that a
     basket holds are extended by its larger items and kept where they are candidates.
     """
     rows = baskets.select(F.col(basket).alias("b"), F.col(item).cast("string").alias("i")).where("b IS NOT NULL AND i IS NOT NULL").distinct()
+    if seen is not None:
+        seen.append(rows.select(F.array("i").alias("items")).distinct())
     single = rows.groupBy("i").agg(F.count("*").alias("support")).where(F.col("support") >= support)
     level = cut(single.select(F.array("i").alias("items"), "support"))
     singles = cut(rows.join(single.select("i"), "i", "left_semi").select("b", "i"))
@@ -36,6 +42,8 @@ def frequent_itemsets(baskets: DataFrame, basket: str, item: str, support: int,
             whole = subsets.join(level.select(F.col("items").alias("s")), "s").groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") == k).select("items")
             pairs = pairs.join(whole, "items", "left_semi")
         pairs = cut(pairs)
+        if seen is not None and not pairs.isEmpty():
+            seen.append(pairs)
         longer = held.join(singles, "b").where(F.col("i") > F.element_at("items", -1)).select("b", F.concat("items", F.array("i")).alias("items"))
         found = longer.join(pairs.select("items"), "items", "left_semi")
         level = cut(found.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support))
@@ -51,6 +59,34 @@ def itemset_report(sets: DataFrame) -> DataFrame:
     return sets.select(F.size("items").alias("size"), text.alias("t")).groupBy("size").agg(F.array_join(F.array_sort(F.collect_list("t")), ",").alias("line"))
 
 
+def candidate_report(baskets: DataFrame, basket: str, item: str, support: int) -> DataFrame:
+    """``part, size, line``: for each size the candidates, and the frequent sets among them, as quoted tuples in lexical order.
+
+    Candidates of one item are all items; larger ones join frequent sets that agree on all but the
+    last item and have no infrequent subset, so they don't depend on how the baskets are dealt.
+    """
+    seen: list[DataFrame] = []
+    frequent = frequent_itemsets(baskets, basket, item, support, seen=seen)
+    every = seen[0]
+    for more in seen[1:]:
+        every = every.unionByName(more)
+    lines = itemset_report(every).withColumn("part", F.lit("Candidates:")).unionByName(itemset_report(frequent).withColumn("part", F.lit("Frequent Itemsets:")))
+    return lines.select("part", "size", "line")
+
+
+def pair_bucket(a: Column, b: Column, buckets: int = 10) -> Column:
+    """The bucket of a pair of numbered items: their sum, modulo the number of buckets."""
+    return F.pmod(a + b, F.lit(buckets)).cast("long")
+
+
+def recall(found: DataFrame, true: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row ``found, expected, hits, recall, precision`` of rows told apart by ``key``; null where there is nothing to count."""
+    rows = found.select(*key).distinct().withColumn("f", F.lit(1)).join(true.select(*key).distinct().withColumn("t", F.lit(1)), list(key), "full")
+    sums = rows.agg(F.sum("f").alias("found"), F.sum("t").alias("expected"), F.sum(F.col("f") * F.col("t")).alias("hits"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return sums.select(n("found").alias("found"), n("expected").alias("expected"), n("hits").alias("hits"), F.try_divide(n("hits"), "expected").alias("recall"), F.try_divide(n("hits"), "found").alias("precision"))
+
+
 def overlap_pairs(pairs: DataFrame, item: str, user: str) -> DataFrame:
     """``a, b, both, size_a, size_b`` for items with a common user, by an equality join on the user."""
     rows = pairs.select(F.col(item).alias("i"), F.col(user).alias("u")).distinct()
@@ -73,6 +109,7 @@ def banded_minhash(pairs: DataFrame, item: str, user: str, least: float, hashes:
     items meet by an equality join on band and bucket.
     """
     rows = pairs.select(F.col(item).alias("i"), F.pmod(F.xxhash64(user), F.lit(PRIME)).alias("x"), F.col(user).alias("u")).distinct()
+    # Multiplier and shift of function h.
     rule = [(3 * h + 1, h + 12) for h in range(hashes)]
     least_of = rows.groupBy("i").agg(*[F.min(F.pmod(F.lit(a) * F.col("x") + F.lit(b), F.lit(PRIME))).alias(f"h{k}") for k, (a, b) in enumerate(rule)])
     width = hashes // bands
@@ -111,7 +148,7 @@ def item_cf(train: DataFrame, targets: DataFrame, user: str, item: str, value: s
     """
     wanted = targets.select(F.col(user).alias("u"), F.col(item).alias("i")).distinct()
     rated = train.select(F.col(user).alias("u"), F.col(item).alias("j"), F.col(value).alias("r"))
-    similar = pearson(train, user, item, value, common).select("i", "j", amplify(F.col("similarity")).alias("s"))
+    similar = pearson(train, user, item, value, common).select("i", "j", F.bround(amplify(F.col("similarity")), 9).alias("s"))  # equal up to rounding is a tie
     near = wanted.join(rated, "u").where("i <> j").join(similar, ["i", "j"])
     order = Window.partitionBy("u", "i").orderBy(F.desc("s") if largest else F.asc("s"), "j")
     best = near.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= neighbours)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
@@ -14,7 +14,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.stats import shrunk
 from quillspark.operators.retail import rmse
+from quillspark.operators.stats import leave_one_out
 
 
 def hash_split(key: Column, share: float, seed: int = 0) -> Column:
@@ -56,6 +58,50 @@ def stacked(train: DataFrame, test: DataFrame, key: Column, label: str, content:
     return boosted(assemble(parts.drop("features"), columns), assemble(scored.drop("features"), columns), label)
 
 
+#: What is known of a rating's user and item without the rating itself.
+RATING_FEATURES = ("u_mean", "u_sd", "u_n", "i_mean", "i_sd", "i_n")
+
+
+def rating_features(train: DataFrame, test: DataFrame, user: str, item: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Both frames with ``RATING_FEATURES``: mean, deviation and number of the user's and of the item's training ratings.
+
+    A training row's own rating is left out, and test ratings are never looked at, so no label reaches its features. Users and
+    items with few other ratings are drawn towards the overall mean, those with none get it.
+    """
+    known, asked = train, test
+    for key, p in ((user, "u"), (item, "i")):
+        known = leave_one_out(known, key, value, shrink=True).withColumnsRenamed({"n": f"{p}_n", "mean": f"{p}_mean", "sd": f"{p}_sd"})
+        sums = train.groupBy(key).agg(F.count("*").alias("_c"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+        overall = F.broadcast(sums.agg(F.avg("_m").alias("_all"), F.avg("_s").alias("_all_sd")))
+        n = F.coalesce("_c", F.lit(0))
+        found = [n.alias(f"{p}_n"), shrunk(n, F.col("_m"), F.col("_all")).alias(f"{p}_mean"), shrunk(n, F.col("_s"), F.col("_all_sd")).alias(f"{p}_sd")]
+        asked = asked.join(sums, key, "left").join(overall).select(*asked.columns, *found)
+    return known, asked
+
+
+def fan_out(train: DataFrame, test: DataFrame, segment: str, columns: Sequence[str], label: str) -> DataFrame:
+    """``segment, n, rmse`` of boosted trees trained for each value of ``segment`` on its rows alone; null segments are left out.
+
+    Only the distinct segments come to the driver; every model's training is spread over the cluster.
+    """
+    out = None
+    for (value,) in sorted(tuple(r) for r in train.select(segment).where(F.col(segment).isNotNull()).distinct().collect()):
+        own = F.col(segment) == F.lit(value)
+        scored = boosted(assemble(train.where(own), columns), assemble(test.where(own), columns), label)
+        row = error(scored, label).select(F.lit(value).alias(segment), "n", "rmse")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def save(model, path: str) -> None:
+    """A fitted model, or a pipeline of them, under ``path``; what was there is replaced."""
+    (model if isinstance(model, PipelineModel) else PipelineModel([model])).write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def classifier(kind: str, label: str):
     return {
         "forest": RandomForestClassifier(labelCol=label, numTrees=20, maxDepth=5, seed=1),

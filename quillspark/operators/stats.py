@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -71,6 +73,26 @@ def bootstrap(df: DataFrame, key: str, value: str, reps: int = 1000, seed: int =
     return means.agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("error"))
 
 
+def parametric_bootstrap(df: DataFrame, value: str, kind: str, reps: int = 1000, seed: int = 0) -> DataFrame:
+    """``mean, error`` of the means of ``reps`` samples as large as ``df`` from a distribution fitted to ``value``: ``normal``, ``bernoulli`` or ``poisson``.
+
+    A sample's mean is drawn at once: the sum of ``n`` numbers of the fitted law is taken at its normal limit, for
+    the two laws of whole numbers rounded to one. So a rep is one row, whatever the size of
+    ``df``. Nulls don't count; no rows give nulls.
+    """
+    fit = df.agg(F.count(value).alias("n"), F.avg(value).alias("mu"), F.stddev_pop(value).alias("sd"))
+    u = lambda k: F.xxhash64(F.lit(seed), F.lit(k), "rep") / F.lit(2.0**64) + 0.5
+    z = F.sqrt(-2 * F.log(F.greatest(u(1), F.lit(1e-300)))) * F.cos(2 * math.pi * u(2))
+    spread = {"normal": F.col("sd"), "bernoulli": F.sqrt(F.col("mu") * (1 - F.col("mu"))), "poisson": F.sqrt("mu")}[kind]
+    total = F.col("mu") * F.col("n") + z * spread * F.sqrt("n")
+    if kind != "normal":
+        total = F.greatest(F.lit(0.0), F.round(total))
+    if kind == "bernoulli":
+        total = F.least(total, F.col("n").cast("double"))
+    means = df.sparkSession.range(reps).withColumnRenamed("id", "rep").join(F.broadcast(fit)).select(F.try_divide(total, F.col("n")).alias("m"))
+    return means.agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("error"))
+
+
 def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str, drop_first: bool = False) -> DataFrame:
     """A 0/1 column for each of ``values``, in their order."""
     return df.withColumns({f"{prefix}{k}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for k, v in enumerate(values) if k or not drop_first})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import bytes_number
 from quillspark.operators import relational as ops
 from quillspark.plans.registry import Registry
 from quillspark.sources.tables import table
@@ -322,6 +323,26 @@ def linear_hash_bucket(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").groupBy(F.pmod(F.pmod(13333 * F.col("c_custkey") + 3, F.lit(2333333)), F.lit(5)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "text_number",
+    "SELECT c_custkey, list_reduce(list_transform(generate_series(1, length(c_name)), lambda i: ascii(substr(c_name, i, 1))::BIGINT), lambda a, x: (a * 256 + x) % 233333) AS number FROM customer",
+)
+def text_number(spark: SparkSession, folder: str) -> DataFrame:
+    """A name's bytes as one large number, modulo a prime."""
+    return table(spark, folder, "customer").select("c_custkey", bytes_number(F.col("c_name"), 233_333).alias("number"))
+
+
+@query("utc_times", "SELECT event_id, timezone('UTC', timezone('America/New_York', ts)) AS utc FROM events")
+def utc_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Local times of a zone with summer time as UTC."""
+    return table(spark, folder, "events").select("event_id", F.to_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York").cast("timestamp_ntz").alias("utc"))
+
+
+@query("user_tips", "SELECT user_id, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY 1")
+def user_tips(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 4).alias("total"))
+
+
 @query(
     "scalar_strings",
     "SELECT p_partkey, upper(left(p_name, 3)) AS head, right(p_type, 4) AS tail, replace(trim(p_brand), 'Brand', 'B') AS brand, split_part(p_type, ' ', 1) AS kind, p_brand || '|' || p_size AS key FROM part",

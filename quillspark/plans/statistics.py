@@ -28,10 +28,20 @@ def cohorts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("cohort", "period").agg(F.countDistinct("o_custkey").alias("n"))
 
 
-@query("cohort_matrix", f"WITH {_COHORT} SELECT cohort, {', '.join(f'max(CASE WHEN period = {k} THEN n END) AS p{k}' for k in range(13))} FROM m GROUP BY cohort")
+@query(
+    "cohort_matrix",
+    f"""
+    WITH {_COHORT}, g AS (SELECT c.cohort, p.period FROM (SELECT DISTINCT cohort FROM m) c, (SELECT unnest(generate_series(0, (SELECT max(period) FROM m))) AS period) p)
+    SELECT g.cohort, string_agg(coalesce(n::VARCHAR, ''), ',' ORDER BY g.period) AS cells FROM g LEFT JOIN m ON m.cohort = g.cohort AND m.period = g.period GROUP BY g.cohort
+    """,
+)
 def cohort_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    wide = cohorts(spark, folder).groupBy("cohort").pivot("period", list(range(13))).agg(F.max("n"))
-    return wide.select("cohort", *[F.col(str(k)).alias(f"p{k}") for k in range(13)])
+    """A line for each cohort with a cell for every period up to the last that any cohort has; cells without orders are empty."""
+    m = cohorts(spark, folder)
+    last = F.broadcast(m.agg(F.max("period").alias("last")))
+    rows = m.groupBy("cohort").agg(F.map_from_entries(F.collect_list(F.struct("period", "n"))).alias("own")).join(last)
+    cell = F.transform(F.sequence(F.lit(0), F.col("last").cast("int")), lambda p: F.coalesce(F.try_element_at("own", p.cast("int")).cast("string"), F.lit("")))
+    return rows.select("cohort", F.array_join(cell, ",").alias("cells"))
 
 
 @query("cohort_retention", f"WITH {_COHORT}, z AS (SELECT cohort, n AS n0 FROM m WHERE period = 0) SELECT m.cohort, period, n, round_even(n / n0, 6) AS retention FROM m JOIN z ON m.cohort = z.cohort")
@@ -228,6 +238,15 @@ def bootstrap_se(spark: SparkSession, folder: str) -> DataFrame:
     return stats.bootstrap(table(spark, folder, "customer"), "c_custkey", "c_acctbal", reps=1000)
 
 
+@query("bootstrap_parametric")
+def bootstrap_parametric(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of a mean from samples drawn of a fitted normal, Bernoulli and Poisson distribution."""
+    rows = table(spark, folder, "customer").select("c_acctbal", (F.col("c_acctbal") > 0).cast("double").alias("positive"), (F.col("c_nationkey") * 1.0).alias("nation"))
+    kinds = (("normal", "c_acctbal"), ("bernoulli", "positive"), ("poisson", "nation"))
+    parts = [stats.parametric_bootstrap(rows, column, kind).select(F.lit(kind).alias("kind"), "mean", "error") for kind, column in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("utility_score", "SELECT p_partkey, round_even(p_size * 10 - p_retailprice / 10, 4) AS score FROM part ORDER BY p_size * 10 - p_retailprice / 10 DESC, p_partkey LIMIT 10")
 def utility_score(spark: SparkSession, folder: str) -> DataFrame:
     score = F.col("p_size") * 10 - F.col("p_retailprice") / 10

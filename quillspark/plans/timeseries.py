@@ -136,9 +136,23 @@ def channel_rolling(spark: SparkSession, folder: str) -> DataFrame:
     return total.select("day", mean(6).alias("mean_7"), mean(96).alias("mean_7_90"))
 
 
+@query(
+    "lag_91",
+    f"""
+    WITH {_DAILY}, t AS (SELECT sku, day, qty, lag(qty, 91) OVER (PARTITION BY sku ORDER BY day) AS lag_91 FROM dense)
+    SELECT sku, day, lag_91, round_even(avg(lag_91) OVER w, 6) AS mean, round_even(stddev_samp(lag_91) OVER w, 6) AS sd FROM t WINDOW w AS (PARTITION BY sku ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+    """,
+)
+def lag_91(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales of 91 days before, with the mean and deviation of seven such days."""
+    rows = dense(spark, folder).withColumn("lag_91", F.lag("qty", 91).over(_w()))
+    week = _w().rowsBetween(-6, 0)
+    return rows.select("sku", "day", "lag_91", F.bround(F.avg("lag_91").over(week), 6).alias("mean"), F.bround(F.stddev_samp("lag_91").over(week), 6).alias("sd"))
+
+
 @query(
     "last_year_sales",
-    f"WITH {_DAILY} SELECT a.sku, a.day, a.qty, coalesce(b.qty, 0) AS last_year FROM daily a LEFT JOIN daily b ON a.sku = b.sku AND b.day = (a.day - INTERVAL 1 YEAR)::DATE WHERE month(a.day) = 11 AND day(a.day) BETWEEN 5 AND 18",
+    f"WITH {_DAILY.split('span AS')[0].rstrip().rstrip(',')} SELECT a.sku, a.day, a.qty, coalesce(b.qty, 0) AS last_year FROM daily a LEFT JOIN daily b ON a.sku = b.sku AND b.day = (a.day - INTERVAL 1 YEAR)::DATE WHERE month(a.day) = 11 AND day(a.day) BETWEEN 5 AND 18",
 )
 def last_year_sales(spark: SparkSession, folder: str) -> DataFrame:
     rows = daily(spark, folder)

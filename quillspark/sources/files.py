@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import importlib.util
+import io
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +52,30 @@ def text_tree(spark: SparkSession, path: str) -> DataFrame:
     return names.select("folder", "file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
+def _whole(spark: SparkSession, path: str, glob: str, schema: str, parse) -> DataFrame:
+    """Frames that ``parse`` makes of whole files, in the columns of ``schema``; a file is read by one task."""
+    names = [f.name for f in rows_of(spark, [], schema).schema.fields]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                yield parse(io.BytesIO(content))[names]
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content").mapInPandas(run, schema)
+
+
+def pickled(spark: SparkSession, path: str, schema: str, glob: str = "*.pkl") -> DataFrame:
+    """Pickled pandas frames below ``path``. Unpickling runs what a file says: only for files of one's own."""
+    return _whole(spark, path, glob, schema, pd.read_pickle)
+
+
+def excel(spark: SparkSession, path: str, schema: str, sheet: str | int = 0, glob: str = "*.xls*") -> DataFrame:
+    """One sheet of every workbook below ``path``; needs a workbook reader that pandas knows, else an ImportError says which."""
+    if not any(importlib.util.find_spec(m) for m in ("openpyxl", "xlrd", "calamine", "python_calamine")):
+        raise ImportError("reading workbooks needs openpyxl, xlrd or python-calamine")
+    return _whole(spark, path, glob, schema, lambda f: pd.read_excel(f, sheet_name=sheet))
+
+
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """Distinct non-blank lines, for a semi join."""
     return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
