@@ -4,12 +4,7 @@ import hashlib
 
 import numpy as np
 
-from conftest import DATA
 from quillspark.llm import decontamination, secret_scan
-from quillspark.operators import ml
-from quillspark.plans import mining, models, reviews
-
-SF = str(DATA / "sf0.001")
 
 
 def counts(same, least, share):
@@ -76,20 +71,3 @@ def test_op6_every_run_of_a_word_and_short_or_plain_secrets(spark):
     clean = {r.doc_id: r.text for r in secret_scan.redacted(docs, model, path=None).collect()}
     assert clean[4] == f"login with password=[secret] and a{short}b stays" and clean[6] == texts[6]
     assert clean[2] == '{"aws_access_key_id":"[secret]","aws_secret_access_key":"[secret]"}'
-
-
-def test_grid_search_takes_all_training_rows(spark, monkeypatch):
-    seen, whole = [], ml.grid_search
-    monkeypatch.setattr(reviews.ml, "grid_search", lambda train, *rest: seen.append(train.count()) or whole(train.limit(200), *rest))
-    reviews.QUERIES["grid_search"](spark, SF)
-    assert seen == [models._priced(spark, SF)[0].count()] and seen[0] > 4000
-
-
-def test_itemsets_do_not_end_at_triples(spark, monkeypatch):
-    rows = spark.createDataFrame([(o, b) for o in range(3) for b in "abcde"], "l_orderkey long, p_brand string")
-    monkeypatch.setattr(mining, "baskets", lambda *_: rows)
-    monkeypatch.setattr(mining, "_support", lambda *_: 3)
-    for name in ("fim_brand", "fim_filtered"):
-        got = {r["items"]: r.support for r in mining.QUERIES[name](spark, SF).collect()}
-        assert len(got) == 31 and got["a,b,c,d,e"] == 3
-    assert {r["size"] for r in mining.QUERIES["fim_report"](spark, SF).collect()} == {1, 2, 3, 4, 5}
