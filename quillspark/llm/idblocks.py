@@ -19,6 +19,10 @@ class Blocks:
     edges: tuple[int, ...]
     parts: int
 
+    @property
+    def count(self) -> int:
+        return (len(self.edges) - 1) * self.parts
+
     def of(self, key: Column) -> Column:
         """The number of the key's block, null keys in the first. Two searches of about the root of the number of ranges."""
         cuts = list(self.edges[1:-1])
@@ -52,3 +56,8 @@ def blocks(docs: DataFrame, n: int, key: str = "doc_id", ranges: int = RANGES) -
         return Blocks((0, 0), 1)
     inner = sorted({b for b in (row.b if wanted else []) if row.lo < b <= row.hi})
     return Blocks((row.lo, *inner, row.hi), -(-n // cut))
+
+
+def number(docs: DataFrame, each: int, least: int = 8) -> int:
+    """How many blocks of about ``each`` bytes of text hold ``docs``, whatever their files' compression."""
+    return max(least, -(-int(docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // each))

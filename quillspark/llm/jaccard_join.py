@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import kernel
+from quillspark.llm import idblocks, kernel
 from quillspark.llm.kernel import U
 from quillspark.operators.graph import connected_components
 from quillspark.session import PARTITIONS, cut, dealt, even, shares, stored
@@ -419,11 +419,6 @@ def _bundled(leads: DataFrame) -> DataFrame:
     return each.withColumn("part", part).repartitionById(parts, "part").drop("part").sortWithinPartitions("bundle", "i", "j")
 
 
-def _texts(docs: DataFrame, each: int) -> int:
-    """How many blocks of about ``each`` bytes of text hold ``docs``."""
-    return max(8, -(-int(docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0) // each))
-
-
 def classes(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, each: int = EACH) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -442,7 +437,7 @@ def classes(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, each
     spark = docs.sparkSession
     kernel.small_batches(spark)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_blocks = _texts(named, each)
+    n_blocks = idblocks.number(named, each)
     block = even(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"), n_blocks, spark)
     laid = dealt(named.where("doc_id is not null").select("doc_id", "text", block.alias("block")), n_blocks, "block")
     counted = laid.groupBy("block").applyInArrow(kernel.lean(_count(n_blocks, width)), "bucket int, block int, keys binary, many binary")
