@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import idblocks
-from quillspark.session import shares
+from quillspark.session import dealt as spread
+from quillspark.session import even
 
 BINS = 128
 BITS = 8
 WIDTH = 5
+#: Bytes of text in a range of doc_ids, and ranges at most; beyond that they grow, and each is streamed through a sort.
+EACH, RANGES = 28 << 20, 100_000
 #: Probes of an empty bin before all filled bins are ranked for it.
 PROBES = 12
 
@@ -89,30 +92,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_bins(rows, "text", "bins").select("doc_id", F.length("text").cast("long").alias("n_chars"), packed(F.col("bins")).alias("fingerprint"))
 
 
-def compared(docs: DataFrame, each: int = 16 << 20) -> DataFrame:
+def compared(docs: DataFrame, each: int = EACH) -> DataFrame:
     """Every row's fingerprint beside that of its edited text and of the next row.
 
     The edited text has its last third of characters replaced by as many first ones of the
     next row's text, by descending doc_id; after the last comes the first. Rows of
-    one doc_id are ordered by text; null doc_ids come last. Texts cross the
+    one doc_id are ordered by text; null doc_ids come last, in an order of their texts. Texts cross the
     network once: they are dealt into ranges of doc_ids, and each range also gets the
     first row of the one below.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = min(shares(docs, each), idblocks.RANGES)
-    placed = rows.withColumn("block", idblocks.blocks(rows, n).of(F.col("doc_id")))
+    found = idblocks.blocks(rows, min(idblocks.number(rows, each), RANGES))
+    block = even(found.of(F.col("doc_id"), F.col("text")), found.count, docs.sparkSession)
+    placed = rows.withColumn("block", block)
     marked = with_bins(placed, "text", "bins")
-    # a row for each range, ten thousand at most: its largest doc_id and the range above, after the last the first
+    # a row for each range, RANGES and those of null doc_ids at most: its first row's key and the range above, after the last the first
     order = Window.orderBy("block")
-    ends = placed.groupBy("block").agg(F.max("doc_id").alias("top"))
+    key = lambda lost: F.struct(F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.when(F.col("doc_id").isNull(), lost).alias("text"))
+    ends = placed.groupBy("block").agg(F.max(key(F.xxhash64("text"))).alias("top"))
     above = F.coalesce(F.lead("block").over(order), F.first("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     tops = F.broadcast(ends.select("block", "top", above.alias("above")))
     own, guest = F.struct(F.col("block").alias("to"), F.lit(0).alias("guest")), F.struct(F.col("above").alias("to"), F.lit(1).alias("guest"))
-    copies = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, guest)).otherwise(F.array(own))
+    copies = F.when(key(F.xxhash64("text")).eqNullSafe(F.col("top")), F.array(own, guest)).otherwise(F.array(own))
     dealt = marked.join(tops, "block").withColumn("copy", F.explode(copies))
     dealt = dealt.select("doc_id", "text", "bins", F.col("copy.to").alias("to"), F.col("copy.guest").alias("guest"))
-    line = Window.partitionBy("to").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
-    paired = dealt.repartition(n, "to").withColumn("next", F.lead(F.struct("text", "bins")).over(line)).where("guest = 0")
+    line = Window.partitionBy("to").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc(F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.desc("text"))
+    paired = spread(dealt, found.count, "to").withColumn("next", F.lead(F.struct("text", "bins")).over(line)).where("guest = 0")
     edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 3))"), F.expr("substring(next.text, 1, cast(floor(length(text) / 3) AS int))"))
     ready = paired.select("doc_id", F.length("text").cast("long").alias("n_chars"), "bins", F.col("next.bins").alias("next_bins"), edited.alias("edited"))
     both = with_bins(ready, "edited", "edited_bins")

@@ -461,7 +461,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     earlier (in a smaller doc_id, or earlier in the same text) is removed; matches stay within a
     text and are judged on the input. Null texts count as empty; texts may have any length. Rows of one doc_id
     are ordered by text; of equal rows one counts as the earlier. Null
-    doc_ids come before all others. ``kept_text`` drops bytes of characters that a cut tears apart.
+    doc_ids come before all others, in an order of their texts. ``kept_text`` drops bytes of characters that a cut tears apart.
     Blocks hold about ``each`` bytes of text; ``hot`` is the number of unequal contexts beyond which an anchor's windows are dealt one by one.
     """
     if length <= SEED:
@@ -471,7 +471,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = idblocks.blocks(named, idblocks.number(named, each))
     n = found.count
-    laid = dealt(named.withColumn("block", even(found.of(F.col("doc_id")), n, spark)), n, "block")
+    laid = dealt(named.withColumn("block", even(found.of(F.col("doc_id"), F.col("text")), n, spark)), n, "block")
     counted = laid.groupBy("block").applyInArrow(kernel.lean(_count(length, n)), _schema(_COUNTED))
     notes = counted.groupBy("bucket").applyInArrow(kernel.lean(_settle(n, hot)), _schema(_NOTES))
     raw = laid.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(kernel.lean(_contexts(length, FINER * n, n)), _schema(_RAW))
