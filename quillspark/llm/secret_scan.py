@@ -89,8 +89,13 @@ def feature_sql(c: str) -> dict[str, str]:
     }
 
 
-def labelled_findings(spark: SparkSession, n: int = 4200) -> DataFrame:
-    """``n`` labelled findings made by rule: keys, passwords and tokens (1); hashes, identifiers, placeholders and names (0)."""
+def labelled_findings(spark: SparkSession, n: int = 4200, first: int = 0, without: tuple[int, ...] = (), only: tuple[int, ...] = ()) -> DataFrame:
+    """``n`` labelled findings made by rule: keys, passwords and tokens (1); hashes, identifiers, placeholders and names (0).
+
+    ``first`` numbers them, other numbers give other strings; kinds ``without`` are left out, as are all others where there are ``only`` some.
+    Findings that aren't secrets stand more often in paths of tests and examples. Every finding is a candidate of its sentence; a sentence
+    that holds none gives no row.
+    """
     hexes = lambda k: f"sha2(concat('{k}', id), 256)"
     base36 = lambda k, n: f"substring(concat({', '.join(f'conv(substring({hexes(k)}, {p}, 12), 16, 36)' for p in (1, 13, 25, 37, 49))}), 1, {n})"
     base64 = lambda k, n: f"translate(substring(base64(unhex({hexes(k)})), 1, {n}), '+/=', 'xyz')"
@@ -136,8 +141,9 @@ def labelled_findings(spark: SparkSession, n: int = 4200) -> DataFrame:
         named("etag: ", f"substring({hexes('l')}, 1, 32)", 0),
     ]
     pick = lambda at: "CASE pmod(id, {n}) {rows} END".format(n=len(kinds), rows=" ".join(f"WHEN {k} THEN {row[at]}" for k, row in enumerate(kinds)))
-    path = "CASE WHEN pmod(xxhash64(id, 'p'), 12) = 0 THEN 'src/tests/case' ELSE 'src0' END"
-    rows = spark.range(0, n, 1, 1).select(F.expr(f"concat({pick(0)}, ' {{}} ', {b})".replace("{}", "and")).alias("text"), F.expr(path).alias("path"), F.expr(pick(1)).alias("label"))
+    use = [k for k in range(len(kinds)) if k not in without and (not only or k in only)]
+    path = f"CASE WHEN pmod(xxhash64(id, 'p'), CASE {pick(1)} WHEN 1 THEN 24 ELSE 4 END) = 0 THEN 'src/tests/case' ELSE 'src0' END"
+    rows = spark.range(first, first + n, 1, 1).where(F.pmod("id", F.lit(len(kinds))).isin(use)).select(F.expr(f"concat({pick(0)}, ' {{}} ', {b})".replace("{}", "and")).alias("text"), F.expr(path).alias("path"), F.expr(pick(1)).alias("label"))
     found = rows.select(F.expr(f"get({candidate_sql('text', 'path')}, 0)").alias("c"), "label").where("c IS NOT NULL")
     return found.select("label", *[F.expr(sql).cast("double").alias(name) for name, sql in feature_sql("c").items()])
 
@@ -162,8 +168,20 @@ def forest_sql(model: RandomForestClassificationModel, f: str) -> str:
     return f"({' + '.join(trees)}) / {len(trees)}D"
 
 
+def _unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, longer where ``docs`` has a column called so."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def with_findings(docs: DataFrame, model: RandomForestClassificationModel, path: str | None = "source", out: str = "found") -> DataFrame:
-    """``docs`` with an array of candidates and their scores as ``out``; empty for null and empty texts."""
+    """``docs`` with an array of candidates and their scores as ``out``; empty for null and empty texts. A ``path`` that is no column gives no evidence."""
+    path = path if path in docs.columns else None
     f = ", ".join(f"cast({sql} AS DOUBLE) AS {name}" for name, sql in feature_sql("c").items())
     score = _let(f"struct({f})", "f", forest_sql(model, "f"))
     own = f"transform({candidate_sql('`text`', f'`{path}`' if path else 'cast(null AS string)')}, c -> struct(c.place AS place, c.core AS secret, {score} AS score))"
@@ -171,8 +189,11 @@ def with_findings(docs: DataFrame, model: RandomForestClassificationModel, path:
 
 
 def findings(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, path: str | None = "source") -> DataFrame:
-    """``doc_id, word, secret_sha256, length, score, is_secret``: a row per candidate, with a digest in place of the string."""
-    columns = ["doc_id", "text", *([path] if path else [])]
+    """``doc_id, word, secret_sha256, length, score, is_secret``: a row per candidate, with a digest in place of the string.
+
+    Whole texts are searched, however long. Null and empty texts have no candidate; null doc_ids and repeated rows are searched like others.
+    """
+    columns = ["doc_id", "text", *([path] if path in docs.columns else [])]
     rows = with_findings(docs.select(*columns), model, path).where("size(found) > 0").select("doc_id", F.explode("found").alias("x"))
     return rows.select(
         "doc_id", F.col("x.place").alias("word"), F.sha2("x.secret", 256).alias("secret_sha256"), F.length("x.secret").alias("length"), F.round("x.score", 6).alias("score"), (F.col("x.score") >= threshold).alias("is_secret")
@@ -182,11 +203,13 @@ def findings(docs: DataFrame, model: RandomForestClassificationModel, threshold:
 def redacted(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, path: str | None = "source", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark`` and ``n_chars`` counted anew; other texts stay as they were.
 
-    Secrets below ``LEAST`` characters are replaced where they stand alone, not inside other words.
+    Secrets below ``LEAST`` characters are replaced where they stand alone, not inside other words. Null texts, null doc_ids, repeated rows and
+    columns of any name stay.
     """
-    rows = with_findings(docs, model, path, "_found").withColumn("_secrets", F.expr(f"transform(filter(_found, x -> x.score >= {threshold}D), x -> x.secret)"))
+    found, secrets = _unused(docs, "_found", "_secrets")
+    rows = with_findings(docs, model, path, found).withColumn(secrets, F.expr(f"transform(filter(`{found}`, x -> x.score >= {threshold}D), x -> x.secret)"))
     alone = f"regexp_replace(t, concat('(?<![{_SET}])\\\\Q', s, '\\\\E(?![{_SET}])'), '{mark}')"
-    clean = rows.withColumn("text", F.expr(f"CASE WHEN size(_secrets) = 0 THEN text ELSE aggregate(array_sort(array_distinct(_secrets), (a, b) -> length(b) - length(a)), text, (t, s) -> IF(length(s) < {LEAST}, {alone}, replace(t, s, '{mark}'))) END"))
+    clean = rows.withColumn("text", F.expr(f"CASE WHEN size(`{secrets}`) = 0 THEN text ELSE aggregate(array_sort(array_distinct(`{secrets}`), (a, b) -> length(b) - length(a)), text, (t, s) -> IF(length(s) < {LEAST}, {alone}, replace(t, s, '{mark}'))) END"))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+        clean = clean.withColumn("n_chars", F.when(F.size(secrets) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
