@@ -178,28 +178,33 @@ class Model:
         return sums / np.maximum(np.diff(bounds), 1)[:, None], letters
 
 
-def fit(labelled: DataFrame, most: int = 1500, order: int = 4, quantile: float = 0.999) -> tuple[Model, np.ndarray]:
+def dealt(texts: list[str]) -> tuple[list[str], list[str]]:
+    """A language's texts that are counted, and those that set its limit: every third, but none of a language's first two."""
+    return [t for k, t in enumerate(texts) if k % 3 != 2], texts[2::3]
+
+
+def fit(labelled: DataFrame, most: int = 1500, order: int = 4, quantile: float = 0.999, letters: int = 6_000_000) -> tuple[Model, np.ndarray]:
     """A model of ``text`` by ``lang``, and the cost per character over which each language rejects.
 
-    At most about ``most`` whole texts of a language come to the driver, those
-    with the smallest hash; a third of them set the thresholds and are not
-    counted. Rows without text or language teach nothing.
+    Of a language about ``most`` whole texts or ``letters`` characters come to the driver, whichever is less, those
+    with the smallest hash; a third of them set the threshold and are not
+    counted. Every language is counted on a text at least; one of fewer than three texts rejects nothing. Rows without text or language teach nothing.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: max(r.n / most, r.size / letters) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()}
     if not counts:
         return Model([UNKNOWN], {UNKNOWN: [""]}, order), np.array([np.inf])
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, most / n).otherwise(share)
+        share = F.when(F.col("lang") == lang, 1 / max(n, 1e-9)).otherwise(share)
     unit = (F.xxhash64("doc_id", "text") / F.lit(2.0**64)) + 0.5
     picked = known.select("lang", "text", unit.alias("at")).where(F.col("at") < share).collect()
     picked.sort(key=lambda r: (r["lang"], r["at"]))
-    languages = sorted(counts)
-    samples: dict[str, list[str]] = {x: [] for x in languages}
-    kept_out: dict[str, list[str]] = {x: [] for x in languages}
-    for k, r in enumerate(picked):
-        (kept_out if k % 3 == 2 else samples)[r["lang"]].append(r["text"])
+    languages = sorted({r["lang"] for r in picked})
+    own: dict[str, list[str]] = {x: [] for x in languages}
+    for r in picked:
+        own[r["lang"]].append(r["text"])
+    samples, kept_out = ({x: dealt(own[x])[k] for x in languages} for k in (0, 1))
     model = Model(languages, samples, order)
     limits = []
     for j, x in enumerate(languages):
