@@ -87,7 +87,10 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     small_batches(spark)
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    dealt = rows.join(roles(rows, least), "page_id", "left").select("page_id", "url", "html", "refers_to")
+    # written first, so that Catalyst knows their size: few of them go to every task, and no html is shuffled
+    revisits = stored(roles(rows, least).select(F.col("page_id").alias("page"), F.lit(0).alias("part"), "refers_to"), "warc-revisits")
+    part = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url", "html"), F.lit(1024)).cast("int")).otherwise(0)  # null page_ids don't meet in one task
+    dealt = rows.join(revisits, (rows["page_id"] == revisits["page"]) & (part == revisits["part"]), "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -124,7 +127,8 @@ def read(index: DataFrame, gap: int = GAP) -> DataFrame:
     """The records that ``index`` selects: ``page_id, payload_bytes, payload_digest, record_type, refers_to, body_ok``.
 
     An archive's rows stay in reads of at most about 8 MB; ``body_ok`` says
-    that a response's body has the digest and length of its headers.
+    that a response's body has the digest and length of its headers. Null page_ids and repeated rows come back as they were
+    written, an empty payload has 0 bytes; an empty selection gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
