@@ -48,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Partitions of one shuffle at most, and groups that one holds where there are more of them than cores.
-PARTITIONS, GROUPS = 100_000, 16
+PARTITIONS, GROUPS = 100_000, 4
 #: Groups that get names which spread them evenly.
 LABELLED = 4096
 
@@ -58,13 +58,13 @@ def _tasks(spark: SparkSession, wanted: int) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, wanted)
 
 
-def _parts(spark: SparkSession, groups: int) -> int:
-    return min(groups, PARTITIONS, _tasks(spark, -(-groups // GROUPS)))
+def _parts(spark: SparkSession, groups: int, each: int = GROUPS) -> int:
+    return min(groups, PARTITIONS, _tasks(spark, -(-groups // each)))
 
 
-def dealt(df: DataFrame, groups: int, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` into partitions of several groups, which are worked off one by one."""
-    return df.repartition(_parts(df.sparkSession, groups), *keys)
+def dealt(df: DataFrame, groups: int, *keys: str, each: int = GROUPS) -> DataFrame:
+    """``df`` dealt by ``keys`` into partitions of about ``each`` groups, which are worked off one by one."""
+    return df.repartition(_parts(df.sparkSession, groups, each), *keys)
 
 
 def _hashed(x: np.ndarray) -> np.ndarray:
@@ -91,14 +91,14 @@ def even_labels(groups: int, parts: int) -> list[int]:
     return found[:groups]
 
 
-def even(number: Column, groups: int, spark: SparkSession) -> Column:
-    """The int ``number`` below ``groups``, renamed in the same order so that ``dealt`` spreads the groups evenly.
+def even(number: Column, groups: int, spark: SparkSession, each: int = GROUPS) -> Column:
+    """The int ``number`` below ``groups``, renamed in the same order so that ``dealt`` with the same ``each`` spreads the groups evenly.
 
     Beyond ``LABELLED`` groups numbers stay; a partition holds many of them then and chance evens them out.
     """
     if not 1 < groups <= LABELLED:
         return number
-    labels = even_labels(groups, _parts(spark, groups))
+    labels = even_labels(groups, _parts(spark, groups, each))
     return F.element_at(F.array(*[F.lit(x) for x in labels]), number.cast("int") + 1)
 
 
