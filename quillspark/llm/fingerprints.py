@@ -103,7 +103,7 @@ def compared(docs: DataFrame, each: int = EACH) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = idblocks.blocks(rows, min(idblocks.number(rows, each), RANGES))
-    block = even(found.of(F.col("doc_id"), F.col("text")), found.count, docs.sparkSession)
+    block = even(found.of(F.col("doc_id"), F.col("text")), found.count, docs.sparkSession, each=1)
     placed = rows.withColumn("block", block)
     marked = with_bins(placed, "text", "bins")
     # a row for each range, RANGES and those of null doc_ids at most: its first row's key and the range above, after the last the first
@@ -117,7 +117,7 @@ def compared(docs: DataFrame, each: int = EACH) -> DataFrame:
     dealt = marked.join(tops, "block").withColumn("copy", F.explode(copies))
     dealt = dealt.select("doc_id", "text", "bins", F.col("copy.to").alias("to"), F.col("copy.guest").alias("guest"))
     line = Window.partitionBy("to").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc(F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.desc("text"))
-    paired = spread(dealt, found.count, "to").withColumn("next", F.lead(F.struct("text", "bins")).over(line)).where("guest = 0")
+    paired = spread(dealt, found.count, "to", each=1).withColumn("next", F.lead(F.struct("text", "bins")).over(line)).where("guest = 0")
     edited = F.concat(F.expr("substring(text, 1, length(text) - floor(length(text) / 3))"), F.expr("substring(next.text, 1, cast(floor(length(text) / 3) AS int))"))
     ready = paired.select("doc_id", F.length("text").cast("long").alias("n_chars"), "bins", F.col("next.bins").alias("next_bins"), edited.alias("edited"))
     both = with_bins(ready, "edited", "edited_bins")
