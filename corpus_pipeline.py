@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Every stage takes null and empty texts, null doc_ids, repeated rows, empty tables, texts of any length and columns of any
+name, and hands on all columns of the rows that it keeps; what it does with such rows is said with it.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +15,30 @@ from quillspark.sources.tables import table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts are scored like others; repeated rows share their fate."""
     return compact(quality.accepted(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays.
+
+    Texts without a word and rows without a doc_id have no copies and stay; rows of one doc_id stay or go together.
+    """
     return compact(jaccard_join.one_of_each(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go. Null and empty texts stay; an empty benchmark lets all stay."""
     return compact(decontamination.clean(docs, table(spark, sf_dir, "benchmark")))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark and ``n_chars`` is counted anew; every row stays, null and empty texts as they were."""
     return compact(secret_scan.redacted(docs, secret_scan.train(secret_scan.labelled_findings(spark))))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every token of every document gets its place in a training sequence."""
+    """Every token of every row gets its place in a training sequence; a null or empty text is one end mark."""
     return packing.packed(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
