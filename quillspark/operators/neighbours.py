@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import cut
+
 
 def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, most: int = 2_000_000) -> DataFrame:
     """``query, neighbour, distance, rank``: the ``k`` rows nearest to each query by Euclidean distance, itself left out, ties by key.
@@ -23,7 +25,11 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
     out = None
     for b in range(blocks):
         part = q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toPandas() if blocks > 1 else q.toPandas()
-        found = _block(spark.sparkContext.broadcast((part["query"].tolist(), part["v"].tolist())), rows, key, vector, k)
+        shared = spark.sparkContext.broadcast((part["query"].tolist(), part["v"].tolist()))
+        found = _block(shared, rows, key, vector, k)
+        if blocks > 1:  # one block lies in the driver at a time
+            found = cut(found)
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -111,7 +117,11 @@ def impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, most: in
     found = None
     for b in range(blocks):
         part = gaps.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else gaps
-        one = plain.mapInPandas(_donors(spark.sparkContext.broadcast(part.toPandas()), list(columns), k), f"id {kind}, `column` string, donor {kind}, distance double, value double")
+        shared = spark.sparkContext.broadcast(part.toPandas())
+        one = plain.mapInPandas(_donors(shared, list(columns), k), f"id {kind}, `column` string, donor {kind}, distance double, value double")
+        if blocks > 1:
+            one = cut(one)
+            shared.unpersist()
         found = one if found is None else found.unionByName(one)
     order = Window.partitionBy("id", "column").orderBy("distance", "donor")
     best = found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).groupBy("id", "column").agg(F.avg("value").alias("v"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,16 +27,53 @@ def extreme_row(df: DataFrame, group: Sequence[str], order: Column, columns: Seq
     return found.select(*group, *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), accuracy: int = 100_000) -> DataFrame:
+    """``by`` and an array ``_q`` of exact interpolated quantiles of ``column``; nulls don't count, without values the array is null.
+
+    A sketch bounds every quantile first. Values below the bounds are only counted, those between them, about four in
+    ``accuracy``, are gathered by value, so no task holds all distinct values.
+    """
+    x, keys = F.col(column), list(by)
+    rows = df.select(*keys, x.cast("double").alias("_x")).where("_x IS NOT NULL")
+    margin = [(max(0.0, q - 2 / accuracy), min(1.0, q + 2 / accuracy)) for q in shares]
+    sketch = rows.groupBy(*keys).agg(F.percentile_approx("_x", [e for pair in margin for e in pair], accuracy).alias("_b"))
+    held = F.broadcast(sketch.select(*[F.col(k).alias(f"_{k}") for k in keys], "_b"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    near = rows.join(held, reduce(lambda a, b: a & b, same)) if keys else rows.join(held)
+    inside = lambda k: (F.col("_x") >= F.col("_b")[2 * k]) & (F.col("_x") <= F.col("_b")[2 * k + 1])
+    each = lambda f: F.array(*[f(F.col("_b")[2 * k], F.col("_b")[2 * k + 1]) for k in range(len(shares))])
+    counts = near.groupBy(*keys).agg(
+        F.count("*").alias("_n"),
+        each(lambda lo, hi: F.count_if(F.col("_x") < lo)).alias("_below"),
+        each(lambda lo, hi: F.max(F.when(F.col("_x") < lo, F.col("_x")))).alias("_before"),
+        each(lambda lo, hi: F.min(F.when(F.col("_x") > hi, F.col("_x")))).alias("_after"),
+    )
+    which = F.filter(F.array(*[F.when(inside(k), F.lit(k)) for k in range(len(shares))]), lambda k: k.isNotNull())
+    band = near.select(*keys, "_x", F.explode(which).alias("_k")).groupBy(*keys, "_k", "_x").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_k").orderBy("_x"))
+    counted = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n", "_below", "_before", "_after")
+    placed = band.withColumn("_upto", upto)
+    placed = placed.join(F.broadcast(counted), reduce(lambda a, b: a & b, same)) if keys else placed.join(F.broadcast(counted))
+    rank = F.element_at(F.array(*[F.lit(float(q)) for q in shares]), F.col("_k") + 1) * (F.col("_n") - 1)
+    below, before, after = (F.element_at(c, F.col("_k") + 1) for c in ("_below", "_before", "_after"))
+    # a rank may lie one value outside the bounds
+    at = lambda i: F.coalesce(F.min(F.when(i < below, before)), F.min(F.when(below + F.col("_upto") > i, F.col("_x"))), F.min(after))
+    ends = placed.groupBy(*keys, "_k").agg(F.first(rank).alias("_r"), at(F.floor(rank)).alias("_lo"), at(F.ceil(rank)).alias("_hi"))
+    value = F.when(F.floor("_r") == F.col("_r"), F.col("_lo")).otherwise((F.ceil("_r") - F.col("_r")) * F.col("_lo") + (F.col("_r") - F.floor("_r")) * F.col("_hi"))
+    found = ends.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value.alias("_v")))), lambda s: s["_v"]).alias("_q"))
+    return found.select(*keys, F.when(F.size("_q") > 0, F.col("_q")).alias("_q"))
+
+
 def iqr_filter(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """Rows within ``k`` interquartile ranges of the quartiles (interpolated, exact); one row of bounds is broadcast."""
-    bounds = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    bounds = quantiles(df, column, (0.25, 0.75))
     q1, q3 = F.col("_q")[0], F.col("_q")[1]
     return df.join(F.broadcast(bounds)).where((F.col(column) >= q1 - k * (q3 - q1)) & (F.col(column) <= q3 + k * (q3 - q1))).drop("_q")
 
 
 def quantile_bins(df: DataFrame, column: str, out: str, parts: int = 4) -> DataFrame:
     """Number of the right-closed interval between exact interpolated quantiles, from 1; null stays null."""
-    edges = df.agg(F.percentile(column, F.array(*[F.lit(k / parts) for k in range(1, parts)])).alias("_edges"))
+    edges = quantiles(df, column, [k / parts for k in range(1, parts)]).withColumnRenamed("_q", "_edges")
     above = F.size(F.filter("_edges", lambda e: e < F.col(column)))
     return df.join(F.broadcast(edges)).withColumn(out, F.when(F.col(column).isNotNull(), above + 1).cast("int")).drop("_edges")
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.relational import quantiles
 from quillspark.session import cut
 
 
@@ -16,7 +17,7 @@ def segments(daily: DataFrame, sku: str, day: str, qty: str, many: int = 168, fe
     Skus of ``listed`` that are neither long-tail nor seasonal by these rules join the normal ones.
     """
     per = daily.groupBy(sku).agg(F.sum(qty).alias("total"), F.countDistinct(day).alias("days"))
-    cuts = F.broadcast(per.agg(F.percentile("total", F.array(F.lit(0.25), F.lit(0.5))).alias("_q")))
+    cuts = F.broadcast(quantiles(per, "total", (0.25, 0.5)))
     normal = (F.col("total") >= F.col("_q")[1]) & (F.col("days") >= many)
     tail = (F.col("total") >= F.col("_q")[0]) & F.col("days").between(few, many)
     out = per.join(cuts).withColumn("segment", F.when(normal, "normal").when(tail, "long_tail").otherwise("seasonal")).drop("_q")

@@ -144,8 +144,8 @@ def iqr_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("quantiles", "SELECT l_returnflag, round_even(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round_even(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round_even(quantile_cont(l_extendedprice, 0.9), 4) AS q90 FROM lineitem GROUP BY 1")
 def quantiles(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9))).alias("q"))
-    return found.select("l_returnflag", *[F.bround(F.col("q")[k], 4).alias(n) for k, n in enumerate(("q25", "q50", "q90"))])
+    found = ops.quantiles(table(spark, folder, "lineitem"), "l_extendedprice", (0.25, 0.5, 0.9), ["l_returnflag"])
+    return found.select("l_returnflag", *[F.bround(F.col("_q")[k], 4).alias(n) for k, n in enumerate(("q25", "q50", "q90"))])
 
 
 _MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -47,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Names of this library's folders in the shared one.
+OWN = re.compile(r"[a-z]+(-[a-z]+)*-[0-9a-f]{32}")
 #: Partitions of one shuffle at most, and groups that one holds where there are more of them than cores.
 PARTITIONS, GROUPS = 100_000, 4
 #: Groups that get names which spread them evenly.
@@ -127,6 +131,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession, hours: float = 24.0) -> int:
+    """Delete the tables of ``stored`` and other folders of this library in the shared folder that are older than ``hours``; how many went.
+
+    Frames that were made of them can't be read afterwards, so call it when their results are written.
+    """
+    jvm, root = spark.sparkContext._jvm, shared_dir(spark)
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    oldest, gone = (time.time() - 3600 * hours) * 1000, 0
+    for status in store.listStatus(path) if store.exists(path) else []:
+        if OWN.fullmatch(status.getPath().getName()) and status.getModificationTime() <= oldest:
+            gone += bool(store.delete(status.getPath(), True))
+    return gone
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that ``df`` reads; no job is run."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

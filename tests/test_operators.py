@@ -183,3 +183,19 @@ def test_impute_takes_the_nearest_rows_that_have_the_column(spark):
     got = {r.id: (r.a, r.b) for r in neighbours.impute(df, "id", ["a", "b"], 2).collect()}
     assert got[1] == (1.0, 15.0) and got[5] == (pytest.approx(3.075), pytest.approx(40.0)) and got[4] == (9.0, 90.0)
     assert {r.id: r.b for r in neighbours.impute(df, "id", ["a", "b"], 2, most=1).collect()}[1] == 15.0
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    rng = random.Random(6)
+    for n in (0, 1, 2, 3, 7, 50, 900):
+        data = [(k % 3, None if rng.random() < 0.1 else float(rng.choice([rng.randint(0, 5), rng.random() * 100]))) for k in range(n)]
+        df = spark.createDataFrame(data, "g long, x double")
+        shares = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+        for accuracy in (100_000, 100):
+            got, want = relational.quantiles(df, "x", shares, accuracy=accuracy).first()[0], df.agg(F.percentile("x", F.array(*map(F.lit, shares)))).first()[0]
+            assert got == (None if want is None else pytest.approx(want))
+        grouped = {r.g: r._q for r in relational.quantiles(df, "x", shares, ["g"]).collect()}
+        want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("q")).where("q IS NOT NULL").collect()}
+        assert grouped == {g: pytest.approx(q) for g, q in want.items()}

@@ -25,3 +25,12 @@ def test_rounds_of_a_loop_do_not_blow_up_the_estimate(spark):
     for _ in range(12):
         df = own.cut(df.join(df.withColumnRenamed("a", "b"), F.col("a") == F.col("b")).join(df.withColumnRenamed("a", "c"), F.col("a") == F.col("c")).select("a"))
     assert df.count() == 20 and own.input_bytes(df) < 1 << 70
+
+
+def test_swept_takes_own_folders_of_an_age(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(own, "shared_dir", lambda _: f"file://{tmp_path}")
+    (tmp_path / "other").mkdir()
+    before = own.stored(spark.range(3), "some-table")
+    folder = before.inputFiles()[0].rsplit("/", 2)[1]
+    assert own.OWN.fullmatch(folder) and own.swept(spark, 1) == 0 and before.count() == 3
+    assert own.swept(spark, -1) == 1 and [x.name for x in tmp_path.iterdir()] == ["other"]
