@@ -51,7 +51,7 @@ class ChunkTokenizer:
 
     The vocabulary drops white space and never joins across it, so a text's ids
     are those of its chunks in order. Chunks are split at ASCII blanks only, and
-    a chunk that ends in punctuation after an ASCII letter is looked up in two parts. The
+    a chunk that ends in punctuation after a Latin letter is looked up in two parts (but the dotted capital I, which takes a mark when lower-cased). The
     vocabulary looks for its special tokens before it lower-cases, so a chunk that may hold one stays as it is.
     """
 
@@ -87,7 +87,7 @@ class ChunkTokenizer:
         chunks = list(missing)
         lows = [c if "Σ" in c or "İ" in c or _SPECIAL in c else c.lower() for c in chunks]
         cores = [x if _SPECIAL in x else x.rstrip(_TAIL) for x in lows]
-        cores = [k if "a" <= k[-1:] <= "z" else x for k, x in zip(cores, lows, strict=True)]
+        cores = [k if "a" <= k[-1:] <= "z" or ("À" <= k[-1:] < "ɐ" and k[-1] != "İ" and k[-1].isalpha()) else x for k, x in zip(cores, lows, strict=True)]
         tails = [x[len(k) :] for k, x in zip(cores, lows, strict=True)]
         fresh = set(cores).union(tails).difference(known)
         if before:

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from quillspark.llm import packing
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-PARTS = ["a", "B", "İ", ".", "!", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", " ", "\n", "é", "É", "Σ", "ß", "9", "'s", "'S", "\x01", "́", "漢", "_", "|", "ﬁ", " ", "ſ", "K", "ı", "\x1f", "\x85"]
+PARTS = ["a", "B", "İ", ".", "!", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", " ", "\n", "é", "É", "Σ", "ß", "9", "'s", "'S", "\x01", "́", "漢", "_", "|", "ﬁ", " ", "ſ", "K", "ı", "\x1f", "\x85", "\u0958", "ŉ", "ǰ", "ÿ", "Ÿ", "ȇ", "×", "º"]
 
 
 def test_ids_equal_the_plain_tokenizer():
