@@ -110,21 +110,21 @@ a AS (SELECT i, j, round_even(s * pow(abs(s), 1.5), 9) AS s FROM sim WHERE n >=
 w AS (SELECT u, i, count(*) AS c, avg(s) AS ms, sum(s * v) / nullif(sum(abs(s)), 0) AS w FROM nr WHERE rn <= 5 GROUP BY 1, 2), mu AS (SELECT user_id AS u, avg(v) AS mu FROM r GROUP BY 1), mi AS (SELECT k AS i, avg(v) AS mi FROM r GROUP BY 1), m AS (SELECT avg(v) AS m FROM r),
 z AS (SELECT te.user_id, te.k, mu, mi, m, w, c >= 3 AND ms > 0.2 AND w IS NOT NULL AS good FROM te LEFT JOIN w ON w.u = te.user_id AND w.i = te.k LEFT JOIN mu ON mu.u = te.user_id LEFT JOIN mi ON mi.i = te.k, m),
 p AS (SELECT *, CASE WHEN mi IS NULL THEN m WHEN mu IS NULL THEN mi WHEN good THEN w ELSE mu END AS raw, CASE WHEN mi IS NULL THEN 'overall' WHEN mu IS NULL THEN 'item' WHEN good THEN 'neighbours' ELSE 'user' END AS step FROM z)
-SELECT user_id, k, round_even(CASE WHEN raw <= 0 AND mi IS NOT NULL THEN mi ELSE raw END, 5) AS prediction, step FROM p
+SELECT user_id, k, round_even(CASE WHEN raw <= 0 AND mi IS NOT NULL THEN mi ELSE raw END, 9) AS prediction, step FROM p
 """
 
 
 @query("cf_item", _CF.format(order="a.s DESC"))
 def cf_item(spark: SparkSession, folder: str) -> DataFrame:
     train, test = _split(spark, folder)
-    return ops.item_cf(train, test, "user_id", "k", "v").withColumn("prediction", F.bround("prediction", 5))
+    return ops.item_cf(train, test, "user_id", "k", "v").withColumn("prediction", F.bround("prediction", 9))
 
 
 @query("cf_item_lowest", _CF.format(order="a.s"))
 def cf_item_lowest(spark: SparkSession, folder: str) -> DataFrame:
     """With the neighbours of the lowest similarity."""
     train, test = _split(spark, folder)
-    return ops.item_cf(train, test, "user_id", "k", "v", largest=False).withColumn("prediction", F.bround("prediction", 5))
+    return ops.item_cf(train, test, "user_id", "k", "v", largest=False).withColumn("prediction", F.bround("prediction", 9))
 
 
 @query("cf_hybrid")
