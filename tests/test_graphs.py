@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +40,53 @@ def test_edges_write_no_pair_that_is_none(spark):
     before = _written(spark)
     e = graphs.edges(spark, str(DATA / "sf0.01"))
     assert e.count() == 879 and _written(spark) - before < 300_000  # 580,012 pairs have common parts
+
+
+def _by_search(pairs):
+    """Betweenness of edges, source by source, with parallel edges as they are."""
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    score = {}
+    for s in near:
+        depth, paths, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in depth:
+                    depth[w], paths[w] = depth[v] + 1, 0
+                    order.append(w)
+                paths[w] += paths[v] if depth[w] == depth[v] + 1 else 0
+        credit = dict.fromkeys(order, 1.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if depth[v] == depth[w] - 1:
+                    share = credit[w] * paths[v] / paths[w]
+                    credit[v] += share
+                    score[min(v, w), max(v, w)] = score.get((min(v, w), max(v, w)), 0) + share / 2
+    return score
+
+
+@pytest.mark.parametrize("each,few,cells", [(1 << 25, 1 << 20, 2_000_000), (1, 0, 1), (400, 100, 300)])
+def test_betweenness_in_blocks_of_sources(spark, monkeypatch, each, few, cells):
+    monkeypatch.setattr(graph, "CELLS", cells)  # of tasks in this process; others take their own
+    rng = random.Random(few)
+    pairs = [(rng.randint(0, 30) + c, rng.randint(0, 30) + c) for c in (0, 100) for _ in range(45)] + [(200 + k, 201 + k) for k in range(12)] + [(300, 301), (301, 300), (400, 400)]
+    got = {(r.src, r.dst): r.score for r in graph.betweenness(spark.createDataFrame(pairs, "src long, dst long"), each, few).collect()}
+    assert got == pytest.approx(_by_search(pairs))
+    names, at = np.unique(pairs[:45], return_inverse=True)
+    src, dst = at.reshape(-1, 2).T
+    keep = src != dst
+    flow = graph._flow(src[keep], dst[keep], len(names), np.arange(len(names))) / 2
+    summed = {}
+    for a, b, x in zip(names[src[keep]].tolist(), names[dst[keep]].tolist(), flow.tolist(), strict=True):
+        summed[min(a, b), max(a, b)] = summed.get((min(a, b), max(a, b)), 0) + x
+    assert summed == pytest.approx(_by_search(pairs[:45]))
+
+
+def test_betweenness_writes_no_row_per_source_and_vertex(spark):
+    star = spark.createDataFrame([(0, k) for k in range(1, 701)], "src long, dst long")
+    before = _written(spark)
+    got = {r.dst: r.score for r in graph.betweenness(star).collect()}
+    assert got == pytest.approx(dict.fromkeys(range(1, 701), 700.0)) and _written(spark) - before < 1_000_000
