@@ -90,3 +90,26 @@ def test_betweenness_writes_no_row_per_source_and_vertex(spark):
     before = _written(spark)
     got = {r.dst: r.score for r in graph.betweenness(star).collect()}
     assert got == pytest.approx(dict.fromkeys(range(1, 701), 700.0)) and _written(spark) - before < 1_000_000
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_girvan_newman_by_lists_cuts_as_by_matrices(spark, monkeypatch, seed):
+    rescored = graph._rescored
+    monkeypatch.setattr(graph, "_rescored", lambda *a: rescored(*a, alone=(1 << 23) * (seed > 1)))
+    rng = random.Random(seed)
+    pairs = {(a + c, b + c) for c in (0, 50) for a in range(14) for b in range(a + 1, 14) if rng.random() < (0.6 if a // 7 == b // 7 else 0.06)}
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    one, two = graph.girvan_newman(e, most=25), graph.girvan_newman(e, most=25, small=0)
+    found = lambda x: sorted(r.members for r in graph.communities(x[0]).collect())
+    assert found(one) == found(two) and one[1] == pytest.approx(two[1]) and one[2] == two[2]
+
+
+def test_girvan_newman_writes_nothing_for_a_cut(spark):
+    rng = random.Random(9)
+    e = spark.createDataFrame(sorted({(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.1}), "src long, dst long")
+    size = []
+    for most in (1, 4):
+        before = _written(spark)
+        graph.girvan_newman(e, most=most, small=0)
+        size.append(_written(spark) - before)
+    assert size[0] == pytest.approx(size[1], rel=0.1)
