@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -107,48 +109,75 @@ def impute(df: DataFrame, key: str, columns: Sequence[str], k: int = 5, most: in
     """``df`` with nulls of ``columns`` filled by the mean of the ``k`` nearest rows that have the column, ties by key.
 
     Distance is Euclidean over the columns that both rows have, scaled up for those they lack; a row that shares none gives nothing,
-    and what no row can fill becomes the column's mean. Rows with a null are the query set, worked off in blocks of ``most`` numbers.
+    and what no row can fill becomes the column's mean. Rows with a null are the query set. Those of equal values are one query, and of rows
+    that are equal in the columns which a query has, the ``k`` of smallest key are enough. Queries are worked off in blocks of ``most`` numbers.
     """
-    spark = df.sparkSession
-    plain = df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(c) for c in columns])
-    gaps = plain.where(" OR ".join(f"`{c}` IS NULL" for c in columns))
-    blocks = max(1, -(-gaps.count() * len(columns) // most))
-    kind = df.schema[key].dataType.simpleString()
-    found = None
-    for b in range(blocks):
-        part = gaps.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else gaps
-        shared = spark.sparkContext.broadcast(part.toPandas())
-        one = plain.mapInPandas(_donors(shared, list(columns), k), f"id {kind}, `column` string, donor {kind}, distance double, value double")
-        if blocks > 1:
-            one = cut(one)
-            shared.unpersist()
-        found = one if found is None else found.unionByName(one)
-    order = Window.partitionBy("id", "column").orderBy("distance", "donor")
-    best = found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).groupBy("id", "column").agg(F.avg("value").alias("v"))
-    wide = best.groupBy(F.col("id").alias("_id")).agg(*[F.max(F.when(F.col("column") == c, F.col("v"))).alias(f"_v_{c}") for c in columns])
+    plain = df.select(F.col(key).alias("id"), *[_number(c).alias(c) for c in columns])
+    gaps = cut(plain.where(" OR ".join(f"`{c}` IS NULL" for c in columns)).select(*columns).distinct())
+    kind, found = df.schema[key].dataType.simpleString(), None
+    for pattern in gaps.select(*[F.col(c).isNull().alias(c) for c in columns]).distinct().collect():
+        have, lack = [c for c in columns if not pattern[c]], [c for c in columns if pattern[c]]
+        asks = gaps.where(" AND ".join(f"`{c}` IS {'' if pattern[c] else 'NOT '}NULL" for c in columns)).select(*have)
+        blocks = max(1, -(-asks.count() * len(columns) // most))
+        for column in lack if have else ():
+            order = Window.partitionBy(*have).orderBy("id")
+            donors = cut(plain.where(F.col(column).isNotNull()).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).select("id", F.col(column).alias("_value"), *have))
+            for b in range(blocks):
+                part = asks.where(F.pmod(F.xxhash64(*have), F.lit(blocks)) == b) if blocks > 1 else asks
+                shared = df.sparkSession.sparkContext.broadcast(part.toPandas().to_numpy(float))
+                one = donors.mapInPandas(_donors(shared, have, len(columns), k), f"{', '.join(f'`{c}` double' for c in have)}, _donor {kind}, _distance double, _value double")
+                order = Window.partitionBy(*have).orderBy("_distance", "_donor")
+                one = one.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).groupBy(*have).agg(F.avg("_value").alias("_v"))
+                one = one.select(*[F.col(c) if c in have else F.lit(None).cast("double").alias(c) for c in columns], F.lit(column).alias("_column"), "_v")
+                if blocks > 1:  # one block lies in the driver at a time
+                    one = cut(one)
+                    shared.unpersist()
+                found = one if found is None else found.unionByName(one)
     means = F.broadcast(plain.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns]))
-    joined = df.join(wide, F.col(key) == F.col("_id"), "left").join(means)
+    joined = df.join(means)
+    if found is None:
+        return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).select(*df.columns)
+    wide = found.groupBy(*[F.col(c).alias(f"_q_{c}") for c in columns]).agg(*[F.max(F.when(F.col("_column") == c, F.col("_v"))).alias(f"_v_{c}") for c in columns])
+    for c in columns:
+        joined = joined.withColumn(f"_n_{c}", _number(c))
+    joined = joined.join(wide, reduce(and_, [F.col(f"_n_{c}").eqNullSafe(F.col(f"_q_{c}")) for c in columns]), "left")
     return joined.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_v_{c}"), F.col(f"_m_{c}")) for c in columns}).select(*df.columns)
 
 
-def _donors(shared, columns: list[str], k: int):
+def _number(column: str) -> Column:
+    """The column as a double; what is no number is missing."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _donors(shared, have: list[str], columns: int, k: int, cells: int = 2_000_000):
+    """The ``k`` rows of a partition that are nearest to each query; some queries against a batch at a time."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        ask = shared.value
-        q = ask[columns].to_numpy(float)
-        best: dict[tuple[int, int], list] = {}
+        q = shared.value
+        best = None
         for frame in frames:
-            x, ids = frame[columns].to_numpy(float), frame["id"].to_numpy()
-            for i in range(len(ask)):
-                both = ~np.isnan(x) & ~np.isnan(q[i])
-                n = both.sum(axis=1)
-                d = np.sqrt(np.where(both, (np.nan_to_num(x) - np.nan_to_num(q[i])) ** 2, 0).sum(axis=1) * len(columns) / np.maximum(n, 1))
-                for j in np.flatnonzero(np.isnan(q[i])):
-                    use = np.flatnonzero((n > 0) & ~np.isnan(x[:, j]) & (ids != ask["id"].iloc[i]))
-                    near = use[np.lexsort((ids[use], d[use]))[:k]]
-                    best[i, j] = sorted(best.get((i, j), []) + [(float(d[r]), ids[r], float(x[r, j])) for r in near])[:k]
-        rows = [(ask["id"].iloc[i], columns[j], donor, dist, v) for (i, j), own in best.items() for dist, donor, v in own]
-        yield pd.DataFrame(rows, columns=["id", "column", "donor", "distance", "value"])
+            frame = frame.sort_values("id")
+            x = frame[have].to_numpy(float)
+            n = (~np.isnan(x)).sum(axis=1)
+            frame, x, n = frame[n > 0], x[n > 0], n[n > 0]
+            if not len(x) or not len(q):
+                continue
+            near = [] if best is None else [best]
+            for lo in range(0, len(q), max(1, cells // len(x))):
+                part = q[lo : lo + max(1, cells // len(x))]
+                d = np.zeros((len(part), len(x)))
+                for c in range(len(have)):
+                    d += np.nan_to_num((part[:, c, None] - x[:, c]) ** 2, nan=0.0)
+                d = np.sqrt(d * columns / n)
+                limit = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+                ask, at = np.nonzero(d <= limit[:, None])  # ties at the edge stay
+                near.append(pd.DataFrame({"ask": ask + lo, "_distance": d[ask, at], "_donor": frame["id"].to_numpy()[at], "_value": frame["_value"].to_numpy()[at]}))
+            best = pd.concat(near).sort_values(["ask", "_distance", "_donor"]).groupby("ask").head(k)
+        if best is not None:
+            own = pd.DataFrame(q[best["ask"].to_numpy()], columns=have)
+            yield own.assign(**{c: best[c].to_numpy() for c in ("_donor", "_distance", "_value")})
 
     return run
