@@ -63,10 +63,34 @@ class ChunkTokenizer:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         (self.mark,) = self.inner.encode(_MARK, add_special_tokens=False).ids
+        suffix, vocabulary = getattr(self.inner.model, "end_of_word_suffix", None), self.inner.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
+        if suffix:
+            self.last[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
+        self.bare = Tokenizer(self.inner.model)  # the same vocabulary; lower-case ASCII words are as the normalizer would leave them
+        self.bare.pre_tokenizer = self.inner.pre_tokenizer
+
+    def _words(self, words: list[str], tokenizer) -> list[str]:
+        """Learn words of letters alone, whose last ids say that a word ends; what doesn't come out as so many words is given back."""
+        left = []
+        for lo in range(0, len(words), 2048):
+            part = words[lo : lo + 2048]
+            ids = np.asarray(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                left += part
+                continue
+            bounds = (4 * ends).tolist()
+            self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *bounds[:-1]], bounds)), strict=True))
+        return left
 
     def _ids(self, chunks: list[str]) -> None:
-        """Learn chunks by encoding them in one string, between marks that have an id of their own."""
+        """Learn words of letters side by side, other chunks in one string between marks that have an id of their own."""
         plain = [c for c in chunks if _MARK not in c]
+        if self.last is not None:
+            words = [c for c in plain if c.isalpha()]
+            left = self._words([c for c in words if c.isascii() and c.islower()], self.bare) + self._words([c for c in words if not c.isascii()], self.inner)
+            plain = [c for c in plain if not c.isalpha() or c.isascii() and not c.islower()] + left
         for lo in range(0, len(plain), 2048):
             part = plain[lo : lo + 2048]
             ids = np.asarray(self.inner.encode_batch_fast([f" {_MARK} ".join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
