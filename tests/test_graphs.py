@@ -113,3 +113,8 @@ def test_girvan_newman_writes_nothing_for_a_cut(spark):
         graph.girvan_newman(e, most=most, small=0)
         size.append(_written(spark) - before)
     assert size[0] == pytest.approx(size[1], rel=0.1)
+
+
+def test_components_of_customers_write_no_pair(spark):
+    before = _written(spark)
+    assert graphs.QUERIES["graph_cc"](spark, str(DATA / "sf0.01")).count() == 625 and _written(spark) - before < 1_000_000
