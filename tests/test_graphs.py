@@ -118,3 +118,8 @@ def test_girvan_newman_writes_nothing_for_a_cut(spark):
 def test_components_of_customers_write_no_pair(spark):
     before = _written(spark)
     assert graphs.QUERIES["graph_cc"](spark, str(DATA / "sf0.01")).count() == 625 and _written(spark) - before < 1_000_000
+
+
+def test_labels_of_customers_write_no_pair(spark):
+    before = _written(spark)
+    assert graphs.QUERIES["graph_lpa"](spark, str(DATA / "sf0.01")).count() == 187 and _written(spark) - before < 1_000_000
