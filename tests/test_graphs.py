@@ -1,6 +1,8 @@
 """Graph queries that count, search and cut without writing what they count."""
 
+import os
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from conftest import DATA
 from quillspark.operators import graph
 from quillspark.plans import graphs
+from quillspark.session import leaf_bytes, shared_dir
 
 
 def _written(spark):
@@ -120,6 +123,52 @@ def test_components_of_customers_write_no_pair(spark):
     assert graphs.QUERIES["graph_cc"](spark, str(DATA / "sf0.01")).count() == 625 and _written(spark) - before < 1_000_000
 
 
+def _tables(spark):
+    """How many tables and checkpoints the shared folder has, and their bytes."""
+    checkpoints = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    found = {*checkpoints.iterdir(), *Path(shared_dir(spark).removeprefix("file://")).iterdir()} - {checkpoints}
+    return len(found), sum(p.stat().st_size for f in found for p in f.rglob("*") if p.is_file())
+
+
+def _dealt(spark):
+    """Bytes of shuffle files."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(os.path.getsize(f"{d}/{f}") for folder in folders for d, _, files in os.walk(folder.getPath()) for f in files if f.startswith("shuffle_"))
+
+
+@pytest.mark.parametrize("joined,places,block", [(1 << 30, 64_000_000, 5), (500, 1, 5), (200, 100, 60)])
+def test_edges_in_parts_and_rounds_are_those_of_the_join(spark, monkeypatch, tmp_path, joined, places, block):
+    for name, value in (("JOINED_BYTES", joined), ("DEALT_PLACES", places), ("DEALT_TIMES", places), ("BLOCK_PAIRS", block), ("PACKED_ROWS", 40)):
+        monkeypatch.setattr(graph, name, value)
+    tables, rng = _tables(spark)[0], random.Random(places)
+    rows = [(rng.choice([-(2**62), 2**62 + rng.randint(0, 9), rng.randint(0, 15)]), rng.randint(-12, 12)) for _ in range(250)] + [(None, 1), (3, None), (7, 99)]
+    spark.createDataFrame(rows, "u long, i long").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    assert (leaf_bytes(df) > joined) == (places < 1000)  # parts and rounds, or one of each
+    weighed = graph.shared_edges(df, "u", "i")
+    least = weighed.agg(F.percentile("n", F.lit(0.9))).first()[0]
+    want = sorted(tuple(r) for r in weighed.where(F.col("n") >= least).select("src", "dst").collect())
+    assert sorted(tuple(r) for r in graph.top_shared_edges(df, "u", "i", 0.9).collect()) == want
+    assert _tables(spark)[0] == tables + 1
+
+
+def test_components_leave_one_table(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(300)], "src long, dst long")
+    tables, _ = _tables(spark)
+    found = graph.connected_components(chain)
+    assert _tables(spark)[0] == tables + 1 and {r.component for r in found.collect()} == {0} and found.count() == 301
+
+
+def test_components_of_customers_leave_no_shuffle_files(spark):
+    spark._jvm.System.gc()
+    time.sleep(2)
+    (tables, kept), before = _tables(spark), _dealt(spark)
+    found = graphs.QUERIES["graph_cc"](spark, str(DATA / "sf0.01"))
+    time.sleep(1)  # they are removed in the background
+    assert _dealt(spark) - before < 100_000 and found.count() == 625
+    assert _tables(spark)[0] == tables + 2 and _tables(spark)[1] - kept < 300_000
+
+
 def test_labels_of_customers_write_no_pair(spark):
     before = _written(spark)
     assert graphs.QUERIES["graph_lpa"](spark, str(DATA / "sf0.01")).count() == 187 and _written(spark) - before < 1_000_000
