@@ -172,3 +172,21 @@ def test_components_of_customers_leave_no_shuffle_files(spark):
 def test_labels_of_customers_write_no_pair(spark):
     before = _written(spark)
     assert graphs.QUERIES["graph_lpa"](spark, str(DATA / "sf0.01")).count() == 187 and _written(spark) - before < 1_000_000
+
+
+def test_labels_leave_one_table_after_any_rounds(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(30)], "src long, dst long")
+    for rounds in (0, 1, 4):
+        tables, _ = _tables(spark)
+        found = graph.label_propagation(chain, rounds)
+        assert _tables(spark)[0] == tables + 1 and found.count() == 31
+
+
+def test_labels_of_customers_leave_no_shuffle_files(spark):
+    spark._jvm.System.gc()
+    time.sleep(2)
+    (tables, kept), before = _tables(spark), _dealt(spark)
+    found = graphs.QUERIES["graph_lpa"](spark, str(DATA / "sf0.01"))
+    time.sleep(1)  # they are removed in the background
+    assert _dealt(spark) - before < 100_000 and found.count() == 187
+    assert _tables(spark)[0] == tables + 2 and _tables(spark)[1] - kept < 300_000
