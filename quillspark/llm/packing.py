@@ -10,10 +10,14 @@ the partitions, until one partition repacks the last few.
 from __future__ import annotations
 
 import bisect
+import codecs
+import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,24 @@ from quillspark.session import compact, cut
 REMEMBERED = 350_000
 #: Characters of texts that are learnt together.
 TOGETHER = 10_000
-#: Marks that end a chunk after a letter, and one that separates chunks.
-_TAIL = ".,!?%*&$#|;:)"
+#: A mark that separates chunks.
 _MARK = "\x01"
 #: How the vocabulary's special tokens begin.
 _SPECIAL = "<|"
+#: Lower-case and caseless letters, and marks, that composing and lower-casing leave as they are.
+_LETTERS, _MARKS = "a-zß-öø-ÿā-įı-žά-ώа-џא-תء-يぁ-ゖァ-ヺー一-龥가-힣", r"!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞€、。〈-】"
+#: Signs that neither compose with a neighbour nor are lower-cased by one: no combining marks, no capital sigma, no dotted capital I.
+_SIMPLE = re.compile(rf"[\0-\xffΆΈ-ΡΤ-ΫЀ-Я{_LETTERS}Ā-įı-ž{_MARKS}]*")
+#: How the vocabulary parts a text, and the same for these letters and marks.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
+#: A mark after a letter, where the vocabulary always parts.
+_TAIL = re.compile(rf"[.,!?%*&$#|;:)](?<=[{_LETTERS}].)")
+#: The character that stands for each byte in the vocabulary.
+_SIGNS, _OTHERS = "".join(chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else "\0" for b in range(256)), iter(range(256, 512))
+_SIGNS = "".join(chr(next(_OTHERS)) if c == "\0" else c for c in _SIGNS)
+#: Characters of the longest chunk that is remembered.
+_LONGEST = 200
 _PIECE = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -46,13 +63,24 @@ _ITEM = T.StructType([*_PIECE.fields, T.StructField("offset", T.LongType())])
 _BIN = T.StructType([T.StructField("bin", T.LongType()), T.StructField("used", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("items", T.ArrayType(_ITEM))])
 
 
+class _Known(dict):
+    """Ids by chunk; a chunk that is missing is learnt when it is asked for."""
+
+    def __init__(self, learn: Callable[[str], bytes]) -> None:
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.learn(chunk)
+
+
 class ChunkTokenizer:
     """Ids of whole texts from remembered ids of their white-space separated chunks.
 
     The vocabulary drops white space and never joins across it, so a text's ids
-    are those of its chunks in order. Chunks are split at ASCII blanks only, and
-    a chunk that ends in punctuation after a Latin letter is looked up in two parts (but the dotted capital I, which takes a mark when lower-cased). The
-    vocabulary looks for its special tokens before it lower-cases, so a chunk that may hold one stays as it is.
+    are those of its chunks in order. Chunks are split at ASCII blanks only. A chunk of letters, digits and marks of the common scripts is
+    parted here as the vocabulary parts it, and its parts go to the merges alone; other chunks go through the whole tokenizer.
+    Texts are lower-cased, and punctuation after their letters split off, where that can't change ids: the vocabulary looks for its special tokens first,
+    so a text that may hold one stays as it is, and it composes letters and marks before it lower-cases, so a text that may hold such marks stays as it is too.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,76 +88,69 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
         (self.mark,) = self.inner.encode(_MARK, add_special_tokens=False).ids
-        suffix, vocabulary = getattr(self.inner.model, "end_of_word_suffix", None), self.inner.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None
-        if suffix:
-            self.last[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
-        self.bare = Tokenizer(self.inner.model)  # the same vocabulary; lower-case ASCII words are as the normalizer would leave them
-        self.bare.pre_tokenizer = self.inner.pre_tokenizer
-
-    def _words(self, words: list[str], tokenizer) -> list[str]:
-        """Learn words of letters alone, whose last ids say that a word ends; what doesn't come out as so many words is given back."""
-        left = []
-        for lo in range(0, len(words), 2048):
-            part = words[lo : lo + 2048]
-            ids = np.asarray(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part) or ends[-1] != len(ids):
-                left += part
-                continue
-            bounds = (4 * ends).tolist()
-            self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, [0, *bounds[:-1]], bounds)), strict=True))
-        return left
-
-    def _ids(self, chunks: list[str]) -> None:
-        """Learn words of letters side by side, other chunks in one string between marks that have an id of their own."""
-        plain = [c for c in chunks if _MARK not in c]
-        if self.last is not None:
-            words = [c for c in plain if c.isalpha()]
-            left = self._words([c for c in words if c.isascii() and c.islower()], self.bare) + self._words([c for c in words if not c.isascii()], self.inner)
-            plain = [c for c in plain if not c.isalpha() or c.isascii() and not c.islower()] + left
+        split, level = json.loads(self.inner.pre_tokenizer.__getstate__())["pretokenizers"]
+        steps = [x["type"] for x in json.loads(self.inner.normalizer.__getstate__())["normalizers"]]
+        if (split["pattern"], split["behavior"], split["invert"], level["type"], level["add_prefix_space"], level["use_regex"], steps) != ({"Regex": _SPLIT}, "Removed", True, "ByteLevel", False, False, ["NFC", "Replace", "Lowercase"]):
+            raise ValueError(f"{path} parts texts in another way")
+        self.merges = self.inner.model.tokenize
+        self.bytes_of = [k.to_bytes(4, "little") for k in range(max(self.inner.get_vocab().values()) + 1)]
+        self.forget()
+
+    def _part(self, part: str) -> bytes:
+        """Ids of what the vocabulary doesn't part any further."""
+        signs = part if part.isascii() else codecs.charmap_decode(part.encode(), "strict", _SIGNS)[0]
+        bytes_of = self.bytes_of
+        return b"".join([bytes_of[t.id] for t in self.merges(signs)])
+
+    def _one(self, chunk: str) -> bytes:
+        """Learn a chunk from its parts, which are remembered too."""
+        known = self.known
+        found = self.before.get(chunk)
+        if found is None:
+            low = chunk.lower()
+            if low.isascii() and low.isalpha():
+                parts = [low]
+            else:
+                parts = _PARTS.findall(low)
+                if _SPECIAL in chunk or len("".join(parts)) != len(low):
+                    parts = []
+            if len(parts) > 1:
+                found = b"".join(map(known.__getitem__, parts))
+            elif parts:
+                found = self._part(low) if low == chunk else known[low]
+            else:
+                found = np.asarray(self.inner.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(chunk) <= _LONGEST:
+            known[chunk] = found
+        return found
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Learn chunks of other signs in one string, between marks that have an id of their own."""
+        known, before = self.known, self.before
+        known.update((c, before[c]) for c in chunks if c in before)
+        lows = {c: low if (low := c.lower()) != c and _SPECIAL not in c and "Σ" not in c and is_normalized("NFC", c) and is_normalized("NFC", low) else c for c in chunks if c not in known}
+        plain = [c for c in {*lows.values()} if _MARK not in c and c not in known]
         for lo in range(0, len(plain), 2048):
             part = plain[lo : lo + 2048]
             ids = np.asarray(self.inner.encode_batch_fast([f" {_MARK} ".join([*part, ""])], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.mark)
             flat, at = ids.tobytes(), 0
             for chunk, end in zip(part, ends.tolist(), strict=True):
-                self.known[chunk] = flat[4 * at : 4 * end]
+                known[chunk] = flat[4 * at : 4 * end]
                 at = end + 1
-        for chunk in chunks:
-            if _MARK in chunk:
-                self.known[chunk] = np.asarray(self.inner.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, missing: set[str]) -> None:
-        known, before = self.known, self.before
-        if before:
-            known.update((c, before[c]) for c in missing if c in before)
-            missing = missing.difference(known)
-        chunks = list(missing)
-        lows = [c if "Σ" in c or "İ" in c or _SPECIAL in c else c.lower() for c in chunks]
-        cores = [x if _SPECIAL in x else x.rstrip(_TAIL) for x in lows]
-        cores = [k if "a" <= k[-1:] <= "z" or ("À" <= k[-1:] < "ɐ" and k[-1] != "İ" and k[-1].isalpha()) else x for k, x in zip(cores, lows, strict=True)]
-        tails = [x[len(k) :] for k, x in zip(cores, lows, strict=True)]
-        fresh = set(cores).union(tails).difference(known)
-        if before:
-            known.update((c, before[c]) for c in fresh if c in before)
-            fresh = fresh.difference(known)
-        if fresh:
-            self._ids(list(fresh))
-        get = known.__getitem__
-        known.update(zip(chunks, map(bytes.__add__, map(get, cores), map(get, tails)), strict=True))
+        known.update((c, known[low]) for c, low in lows.items())
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of some texts, learnt together."""
         if len(self.known) > REMEMBERED:  # what was used lately stays in the older half
-            self.known, self.before = {}, self.known
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.known)
-        if missing:
-            self._learn(missing)
+            self.known, self.before = _Known(self._one), self.known
+        simple = [_SPECIAL not in t and _simple(t) for t in texts]
+        split = [_TAIL.sub(r" \g<0>", t.lower()) if plain else t for t, plain in zip(texts, simple, strict=True)]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in split]
+        if not all(simple):
+            others = {c for chunks, plain in zip(split, simple, strict=True) if not plain for c in chunks if not c.isascii()}
+            self._learn([c for c in others if c not in self.known and not _simple(c)])
         get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
@@ -137,7 +158,11 @@ class ChunkTokenizer:
         return self.encode_all([text])[0]
 
     def forget(self) -> None:
-        self.known, self.before = {}, {}
+        self.known, self.before = _Known(self._one), {}
+
+
+def _simple(text: str) -> bool:
+    return text.isascii() or _SIMPLE.fullmatch(text) is not None
 
 
 @lru_cache(maxsize=1)
