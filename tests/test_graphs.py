@@ -95,6 +95,31 @@ def test_betweenness_writes_no_row_per_source_and_vertex(spark):
     assert got == pytest.approx(dict.fromkeys(range(1, 701), 700.0)) and _written(spark) - before < 1_000_000
 
 
+@pytest.mark.parametrize("held", [0, 2_000_000])
+def test_betweenness_by_joins_and_in_one_task(spark, held):
+    rng = random.Random(4)
+    pairs = [(rng.randint(0, 30) + c, rng.randint(0, 30) + c) for c in (0, 100) for _ in range(35)] + [(500 + k // 2, 501 + k) for k in range(20)] + [(600, 601), (601, 600), (601, 602), (700, 700)]
+    got = {(r.src, r.dst): r.score for r in graph.betweenness(spark.createDataFrame(pairs, "src int, dst int"), 400, 100, held).collect()}
+    assert got == pytest.approx(_by_search(pairs))
+
+
+def test_trees_are_counted_without_a_search(spark, monkeypatch):
+    flow, sizes = graph._flow, []
+    monkeypatch.setattr(graph, "_flow", lambda src, dst, n, *a: sizes.append((n, len(src))) or flow(src, dst, n, *a))
+    pairs = [(0, 1), (1, 2), (2, 0)] + [(k, 3 * k) for k in range(1, 60)]  # a triangle with trees on it, and trees alone
+    names, at = np.unique(pairs, return_inverse=True)
+    src, dst = at.reshape(-1, 2).T
+    label = graph._joined(src, dst, len(names))[src]
+    got = {(min(a, b), max(a, b)): x for (a, b), x in zip(pairs, graph._rescored(spark, src, dst, label).tolist(), strict=True)}
+    assert got == pytest.approx(_by_search(pairs)) and sizes == [(3, 3)]
+
+
+def test_betweenness_leaves_its_edges_alone(spark):
+    tables, _ = _tables(spark)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(50)], "src long, dst long")
+    assert graph.betweenness(chain).count() == 50 and _tables(spark)[0] == tables + 1  # components by joins write more
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_girvan_newman_by_lists_cuts_as_by_matrices(spark, monkeypatch, seed):
     rescored = graph._rescored
