@@ -132,6 +132,45 @@ def test_girvan_newman_by_lists_cuts_as_by_matrices(spark, monkeypatch, seed):
     assert found(one) == found(two) and one[1] == pytest.approx(two[1]) and one[2] == two[2]
 
 
+@pytest.mark.parametrize("exact,weighed", [(2.0**50, 1 << 20), (2.0**50, 40), (0, 1 << 20)])
+def test_cuts_of_a_task_are_those_of_new_searches(monkeypatch, exact, weighed):
+    monkeypatch.setattr(graph, "EXACT", exact)
+    monkeypatch.setattr(graph, "WEIGHED", weighed)
+    rng = random.Random(weighed)
+    for n, share in ((9, 0.2), (30, 0.06), (30, 0.12), (50, 0.03), (50, 0.05)):
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < share]
+        names, at = np.unique(pairs, return_inverse=True)
+        src, dst = at.reshape(-1, 2).T
+        got, rest, cuts = list(graph._course(src, dst, len(names), 1000)), pairs, 0
+        while rest:
+            score = _by_search(rest)
+            gone = [p for p in pairs if score.get(p, 0) >= graph._least(max(score.values()))]
+            assert got[cuts][0] == pytest.approx(max(score.values())) and [pairs[k] for k in got[cuts][1]] == gone
+            rest = [p for p in rest if p not in gone]
+            cuts += 1
+        assert len(got) == cuts
+
+
+@pytest.mark.parametrize("ahead,most,stale", [(2, 1000, 30), (250, 7, 30), (3, 1000, 2)])
+def test_components_are_cut_in_one_order_whoever_follows_them(spark, monkeypatch, ahead, most, stale):
+    monkeypatch.setattr(graph, "AHEAD", ahead)
+    monkeypatch.setattr(graph, "SMALL_VERTICES", 5)  # of the driver: more groups
+    rng = random.Random(most)
+    pairs = sorted({(a + c, b + c) for c, n in ((0, 14), (50, 9), (100, 14), (200, 4)) for a in range(n) for b in range(a + 1, n) if (a * b) % 5 < 2 or rng.random() < 0.1 * (c > 100)})
+    guided, followed = (f(spark, np.array(pairs), most, stale) for f in (graph._guided, graph._followed))
+    assert followed[1].tolist() == guided[1].tolist() and followed[2:] == (pytest.approx(guided[2]), guided[3])
+
+
+def test_cuts_search_no_component_anew_in_the_driver(spark, monkeypatch):
+    pairs = [(a + c, b + c) for c in (0, 10) for a in range(6) for b in range(a + 1, 6)] + [(0, 10)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    monkeypatch.setattr(graph, "_rescored", None)
+    assert sorted(r.first for r in graph.communities(graph.girvan_newman(e, most=4, small=0)[0]).collect()) == [0, 10]
+    monkeypatch.undo()
+    monkeypatch.setattr(graph, "CORE", 11)  # too many vertices on cycles for a task
+    assert sorted(r.first for r in graph.communities(graph.girvan_newman(e, most=4, small=0)[0]).collect()) == [0, 10]
+
+
 def test_girvan_newman_writes_nothing_for_a_cut(spark):
     rng = random.Random(9)
     e = spark.createDataFrame(sorted({(a, b) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.1}), "src long, dst long")
