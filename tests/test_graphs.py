@@ -216,6 +216,25 @@ def test_edges_in_parts_and_rounds_are_those_of_the_join(spark, monkeypatch, tmp
     assert _tables(spark)[0] == tables + 1
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rounds_after_the_first_are_counted_once(spark, monkeypatch, seed):
+    for name, value in (("DEALT_PLACES", 400), ("DEALT_TIMES", 1), ("BLOCK_PAIRS", 100)):
+        monkeypatch.setattr(graph, name, value)
+    packed, quantiles, rounds, rng = graph._packed, [], [], random.Random(seed)
+    monkeypatch.setattr(graph, "_packed", lambda blocks, of, now, labels: rounds.append((now, of)) or packed(blocks, of, now, labels))
+    df = spark.createDataFrame([(rng.randint(0, 60), rng.randint(0, 40)) for _ in range(400)], "u long, i long")
+    weighed = graph.shared_edges(df, "u", "i")
+    for share in (0.5, 0.9, 0.97):
+        rounds.clear()
+        least = weighed.agg(F.percentile("n", F.lit(share))).first()[0]
+        want = sorted(tuple(r) for r in weighed.where(F.col("n") >= least).select("src", "dst").collect())
+        assert sorted(tuple(r) for r in graph.top_shared_edges(df, "u", "i", share).collect()) == want
+        assert rounds[0][1] > 2  # rounds
+        quantiles.append(len(rounds) - rounds[0][1])
+        assert quantiles[-1] in (1, rounds[0][1])
+    assert 1 in quantiles
+
+
 def test_components_leave_one_table(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(300)], "src long, dst long")
     tables, _ = _tables(spark)
