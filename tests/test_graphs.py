@@ -257,6 +257,21 @@ def test_labels_of_customers_write_no_pair(spark):
     assert graphs.QUERIES["graph_lpa"](spark, str(DATA / "sf0.01")).count() == 187 and _written(spark) - before < 1_000_000
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_labels_of_one_task_are_those_of_joins(spark, monkeypatch, seed):
+    rng, tables = random.Random(seed), []
+    moved = graph.moved
+    monkeypatch.setattr(graph, "moved", lambda df, name: tables.append(name) or moved(df, name))
+    e = spark.createDataFrame([(rng.randint(-20, 40), 2 * rng.randint(-20, 40)) for _ in range(90)] + [(7, 7), (7, 9)] * 2, "src int, dst int")
+    for rounds in (0, 1, 5):
+        found = []
+        for held in (0, 2_000_000):
+            tables.clear()
+            found.append(sorted(tuple(r) for r in graph.label_propagation(e, rounds, held).collect()))
+            assert len(tables) == (2 if held else 2 + rounds)
+        assert found[0] == found[1] and found[0]
+
+
 def test_labels_leave_one_table_after_any_rounds(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(30)], "src long, dst long")
     for rounds in (0, 1, 4):
